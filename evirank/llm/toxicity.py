@@ -92,7 +92,7 @@ def _adam(shape, rate: float):
     return step
 
 
-def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int = 1, least: int = 4, warm: int = 15, epochs: int = 45, shrink: float = 3e-4, seed: int = 5) -> Model:
+def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int = 1, least: int = 2, warm: int = 15, epochs: int = 45, shrink: float = 1e-4, seed: int = 5) -> Model:
     """Embeddings and softmax trained jointly by full-batch Adam.  ``warm`` epochs average whole texts; then
     the gradient of each text comes from its most toxic run, as in scoring.  Subwords of fewer than
     ``least`` word-in-text places are left out.  A text in which no run is
