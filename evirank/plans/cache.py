@@ -64,7 +64,7 @@ class Cache:
             return None
 
     def entries(self) -> list[tuple[str, Request]]:
-        names = sorted(os.listdir(self.root)) if os.path.isdir(self.root) else []
+        names = sorted(n for n in os.listdir(self.root) if not n.startswith(".")) if os.path.isdir(self.root) else []
         return [(n, r) for n in names if (r := self._manifest(n))]
 
     def _done(self, name: str) -> DataFrame:
