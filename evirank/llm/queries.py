@@ -14,15 +14,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """The training rows: documents outside the held-out fold with their toxic label."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("label"))
-    return docs.where(~held_out(F.col("doc_id"))).join(labels, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "label")
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and label of the labelled rows outside the held-out fold."""
+    return table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(labelled(spark, sf_dir, docs))
+    model = toxicity.train(docs, training_labels(spark, sf_dir))
     return toxicity.score(docs, model, [held_out(F.col("doc_id")).alias("held_out")]).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -13,6 +13,8 @@ from .common import ALNUM, batches, bounded_sample, bytes_of
 
 BUCKETS = 1 << 20
 SIZES = (3, 5, 7)
+#: Words whose subwords are held at once in training.
+CHUNK = 20_000
 #: Distinct words whose score a worker remembers.
 REMEMBERED = 400_000
 
@@ -103,14 +105,25 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
     rng = np.random.default_rng(seed)
     W, b = rng.normal(0, 0.3, (2, dim)), np.zeros(2)
     if not vocabulary or len(set(labels)) < 2:
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = (y.sum() + 0.5) / (len(y) + 2)  # without labels: not toxic
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))), window)
-    flat, first = subwords(list(vocabulary))
-    owner = np.repeat(np.arange(len(vocabulary)), np.diff(np.append(first, len(flat))))
     places = np.bincount(np.concatenate([np.unique(i) for i in ids]), minlength=len(vocabulary))
-    active = np.flatnonzero(np.bincount(flat, places[owner], BUCKETS) >= least)
-    stay = np.isin(flat, active)
-    flat, owner = np.searchsorted(active, flat[stay]), owner[stay]
+    # subwords of some words at a time: first to count them, then to keep the active ones
+    names = list(vocabulary)
+    parts = [(at, names[at : at + CHUNK]) for at in range(0, len(names), CHUNK)]
+    seen = np.zeros(BUCKETS)
+    for at, part in parts:
+        flat, first = subwords(part)
+        seen += np.bincount(flat, np.repeat(places[at : at + len(part)], np.diff(np.append(first, len(flat)))), BUCKETS)
+    active = np.flatnonzero(seen >= least)
+    kept = []
+    for at, part in parts:
+        flat, first = subwords(part)
+        owner = at + np.repeat(np.arange(len(part)), np.diff(np.append(first, len(flat))))
+        stay = seen[flat] >= least
+        kept.append((np.searchsorted(active, flat[stay]).astype(np.int32), owner[stay].astype(np.int32)))
+    flat, owner = (np.concatenate(x) for x in zip(*kept, strict=True))
+    del kept
     count = np.maximum(np.bincount(owner, minlength=len(vocabulary)), 1)
     E = rng.normal(0, 0.1, (len(active), dim))
     words = np.concatenate(ids)
@@ -166,7 +179,7 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
     direction[active] = E @ (W[1] - W[0])
     model = Model(direction, float(b[1] - b[0]), window)
     # the score of the most toxic run is calibrated on the same texts: two numbers, by Newton steps
-    score = model.words(list(vocabulary))
+    score = np.concatenate([model.words(part) for _, part in parts])
     x = np.array([model.top_run(score[i]) for i in ids])
     mid, wide = x.mean(), x.std() + 1e-9
     z, ab = (x - mid) / wide, np.array([1.0, 0.0])
@@ -187,13 +200,18 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
     return model
 
 
-def train(labelled: DataFrame, max_docs: int = 5000, max_bytes: int = 48 << 20, **options) -> Model:
-    """A model from columns doc_id, text and label (0 or 1; null labels are left out).  At most
-    ``max_docs`` rows and ``max_bytes`` of text, chosen by a hash of doc_id, go to the driver."""
-    rows = labelled.where(F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    chosen = bounded_sample(rows, "doc_id", max_docs, max_bytes)
-    got = chosen.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
-    return fit(got["text"].cast(pa.large_binary()).to_pylist(), [int(x > 0) for x in got["label"].to_pylist()], **options)
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_bytes: int = 32 << 20, **options) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, label: 0 or 1; nulls are left out).
+
+    At most ``max_docs`` labelled rows and ``max_bytes`` of text, chosen by a hash of doc_id, go to the driver.
+    The labels are sampled before the join, so their side is small enough to broadcast and no text is shuffled.
+    """
+    rows = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").alias("__l_id"), F.col("label").cast("int").alias("__label"))
+    few = bounded_sample(rows.withColumn("__none", F.lit("")), "__l_id", max_docs, max_bytes, "__none").drop("__none").limit(max_docs)
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__l_id"))
+    chosen = bounded_sample(joined, "doc_id", max_docs, max_bytes, seed=8)
+    got = chosen.select("doc_id", "__label", "text").toArrow().sort_by([("doc_id", "ascending"), ("__label", "ascending"), ("text", "ascending")])
+    return fit(got["text"].cast(pa.large_binary()).to_pylist(), [int(x > 0) for x in got["__label"].to_pylist()], **options)
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column | str] = ()) -> DataFrame:
