@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialize, scratch_path, shared_dir
+
+__all__ = [
+    "ALNUM", "ASCII_SPACE", "LOWER", "batches", "bounded_sample", "bytes_of", "held_out", "materialize", "scratch_path", "shared_dir", "table",
+]
+
 #: The whitespace class ``[\x20\x09-\x0D]``; ``bytes.split()`` splits at just these bytes.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Lower-cases A-Z only.
@@ -21,32 +25,6 @@ ALNUM = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests in local mode) a temporary folder is set; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="evirank-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/evirank/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
