@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.scratch import materialize
 from ..operators import candidates, compounds, curation, known, results, scoring, selection, similarity
 from ..sources import readers, writers
 from ..streaming import limits
@@ -107,6 +108,11 @@ def shared_domain_counts(s: SparkSession, d: str) -> DataFrame:
     return _candidates(s, d).select("qseqid", "sseqid", "search_type", "n_shared_domains")
 
 
+def _kept(s: SparkSession, d: str) -> DataFrame:
+    """The candidates as a table, for plans that use them several times."""
+    return materialize(_candidates(s, d), "candidates")
+
+
 # --- rankings and ligands -------------------------------------------------------------------------------------
 
 
@@ -125,7 +131,7 @@ def protein_ranking(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM contrib")
 def contributor_ranking(s: SparkSession, d: str) -> DataFrame:
-    cand = _candidates(s, d)
+    cand = _kept(s, d)
     ranking = results.protein_ranking(cand)
     return results.contributors(ranking, results.collapse_ligands(_pairs(cand, s, d), ranking, tie=["source"]))
 
@@ -149,13 +155,13 @@ def known_for_candidates(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM collapsed")
 def ligand_collapse(s: SparkSession, d: str) -> DataFrame:
-    cand = _candidates(s, d)
+    cand = _kept(s, d)
     return results.collapse_ligands(_pairs(cand, s, d), results.protein_ranking(cand), tie=["source"])
 
 
 @query("SELECT p.*, protein_rank FROM pairs p JOIN ranking r USING (qseqid, sseqid)")
 def ligand_keep_repeated(s: SparkSession, d: str) -> DataFrame:
-    cand = _candidates(s, d)
+    cand = _kept(s, d)
     return results.with_protein_rank(_pairs(cand, s, d), results.protein_ranking(cand))
 
 
@@ -169,9 +175,9 @@ def ligand_keep_repeated(s: SparkSession, d: str) -> DataFrame:
     + " FROM supplier"
 )
 def query_summary(s: SparkSession, d: str) -> DataFrame:
-    cand = _candidates(s, d)
-    ranking = results.protein_ranking(cand)
-    ligands = results.collapse_ligands(_pairs(cand, s, d), ranking, tie=["source"])
+    cand = _kept(s, d)
+    ranking = materialize(results.protein_ranking(cand), "ranking")
+    ligands = materialize(results.collapse_ligands(_pairs(cand, s, d), ranking, tie=["source"]), "ligands")
     return results.summary(views.queries_of(s, d), results.contributors(ranking, ligands), ligands, ligands.where("pchembl >= 8"))
 
 
