@@ -116,15 +116,25 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
         flat, first = subwords(part)
         seen += np.bincount(flat, np.repeat(places[at : at + len(part)], np.diff(np.append(first, len(flat)))), BUCKETS)
     active = np.flatnonzero(seen >= least)
-    kept = []
-    for at, part in parts:
+    kept, sizes_of = [], []
+    for _, part in parts:
         flat, first = subwords(part)
-        owner = at + np.repeat(np.arange(len(part)), np.diff(np.append(first, len(flat))))
         stay = seen[flat] >= least
-        kept.append((np.searchsorted(active, flat[stay]).astype(np.int32), owner[stay].astype(np.int32)))
-    flat, owner = (np.concatenate(x) for x in zip(*kept, strict=True))
-    del kept
-    count = np.maximum(np.bincount(owner, minlength=len(vocabulary)), 1)
+        sizes_of.append(np.add.reduceat(stay.astype(np.int64), first))
+        kept.append(np.searchsorted(active, flat[stay]).astype(np.int32))
+    flat, n_of = np.concatenate(kept), np.concatenate(sizes_of)
+    del kept, sizes_of, seen
+    begin = np.concatenate(([0], np.cumsum(n_of)))
+    count = np.maximum(n_of, 1)
+
+    def blocks(used: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Words at a time: where they stand in ``used``, their subwords, and whose each is."""
+        for i in range(0, len(used), CHUNK):
+            u = used[i : i + CHUNK]
+            n = n_of[u]
+            at = np.repeat(begin[u] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield slice(i, i + len(u)), flat[at], np.repeat(np.arange(len(u)), n)
+
     E = rng.normal(0, 0.1, (len(active), dim))
     words = np.concatenate(ids)
     sizes = np.array([len(i) for i in ids])
@@ -133,12 +143,13 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     steps = _adam(E.shape, 0.03), _adam(W.shape, 0.03), _adam(b.shape, 0.03)
     has = np.flatnonzero(sizes)
+    everything = np.arange(len(vocabulary))
     for epoch in range(warm + epochs):
         if epoch < warm:
             lo, n = starts.copy(), np.maximum(sizes, 1)
         else:
             direction = E @ (W[1] - W[0])
-            score = np.bincount(owner, direction[flat], len(vocabulary)) / count
+            score = np.concatenate([np.bincount(own, direction[f], at.stop - at.start) for at, f, own in blocks(everything)]) / count
             total = np.concatenate(([0.0], np.cumsum(score[words])))
             n = np.clip(sizes, 1, window)
             lo = starts.copy()
@@ -158,11 +169,7 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
         pick = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
         text = np.repeat(np.arange(len(y)), n)
         used, where = np.unique(words[pick], return_inverse=True)
-        mask = np.zeros(len(vocabulary), bool)
-        mask[used] = True
-        rows = np.flatnonzero(mask[owner])
-        local = np.searchsorted(used, owner[rows])
-        vec = np.stack([np.bincount(local, E[flat[rows], d], len(used)) for d in range(dim)], 1) / count[used][:, None]
+        vec = np.concatenate([np.stack([np.bincount(own, E[f, d], at.stop - at.start) for d in range(dim)], 1) for at, f, own in blocks(used)]) / count[used][:, None]
         mean = np.stack([np.bincount(text, vec[where, d], len(y)) for d in range(dim)], 1) / np.maximum(n, 1)[:, None]
         logits = mean @ W.T + b
         p = np.exp(logits - logits.max(1, keepdims=True))
@@ -171,7 +178,11 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
         grad[np.arange(len(y)), y] -= weight
         g_mean = grad @ W / np.maximum(n, 1)[:, None]
         g_vec = np.stack([np.bincount(where, g_mean[text, d], len(used)) for d in range(dim)], 1) / count[used][:, None]
-        g_E = np.stack([np.bincount(flat[rows], g_vec[local, d], len(active)) for d in range(dim)], 1)
+        g_E = np.zeros(E.shape)
+        for at, f, own in blocks(used):
+            g = g_vec[at][own]
+            for d in range(dim):
+                g_E[:, d] += np.bincount(f, g[:, d], len(active))
         steps[0](E, g_E + shrink * E)
         steps[1](W, grad.T @ mean + 1e-5 * W)
         steps[2](b, grad.sum(0))
@@ -211,7 +222,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_bytes: i
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__l_id"))
     chosen = bounded_sample(joined, "doc_id", max_docs, max_bytes, seed=8)
     got = chosen.select("doc_id", "__label", "text").toArrow().sort_by([("doc_id", "ascending"), ("__label", "ascending"), ("text", "ascending")])
-    return fit(got["text"].cast(pa.large_binary()).to_pylist(), [int(x > 0) for x in got["__label"].to_pylist()], **options)
+    texts, marks = got["text"].cast(pa.large_binary()).to_pylist(), [int(x > 0) for x in got["__label"].to_pylist()]
+    del got
+    return fit(texts, marks, **options)
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column | str] = ()) -> DataFrame:
