@@ -83,3 +83,11 @@ def test_pipeline_keeps_what_all_pairs_keep(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     kept = {i for i, t in texts.items() if root[i] == i and not hits_brute(t, items)[1]}
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept
+
+
+def test_alike_below_0_8_stays(spark):
+    docs = family(80, np.random.default_rng(5), 4, 0)  # mutual similarity 0.66 to 0.79
+    want, links = brute(docs)
+    assert not links
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == set(want)
