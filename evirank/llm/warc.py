@@ -274,7 +274,7 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
     path, offset, length, kind ('record' or 'gap'), reason (of a gap), page_id, url, record_type,
     payload_digest, payload_bytes, refers_to, payload (of a response).
     """
-    folders = [r.f for r in paths.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().limit(1000).collect()]
+    folders = [r.f for r in paths.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]
     spec = (
         "path string, offset long, length long, kind string, reason string, page_id long, url string, record_type string, "
         "payload_digest string, payload_bytes long, refers_to long, payload binary"
