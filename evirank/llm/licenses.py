@@ -9,6 +9,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -31,8 +33,14 @@ TEMPLATES = [
     ("mit-license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same class and its complement with every character listed, which Java looks up in a table.
+_LISTED = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum())
+NOT_WORD = f"[{_LISTED}]++"
+#: Any run of other characters and the word behind it.
+TO_WORD_END = f"[{_LISTED}]*+[^{_LISTED}]++"
+#: ``NOT_WORD`` but for the line feed.
+NOT_WORD_IN_LINE = f"[{_LISTED.replace(chr(92) + 'x0a', '')}]++"
 
 
 def lowered(text: Column) -> Column:
@@ -44,77 +52,96 @@ def tokens(text: str) -> list[str]:
     return sorted(set(re.findall(WORD, text.lower())))
 
 
-def phrase_scan(text: Column, phrases: dict[str, str] = PHRASES) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base_labels (array) of a lower-cased text column.
+def count_words(text: Column) -> Column:
+    """Each word becomes one character; a word more at the end takes what stands behind the last one."""
+    return F.length(F.regexp_replace(F.concat(text, F.lit(" a")), TO_WORD_END, "x")).cast("long") - 1
+
+
+def phrase_scan(low: str, phrases: dict[str, str] = PHRASES):
+    """A function from a table with the lower-cased text column ``low`` to the same table with n_words, n_base,
+    first_word, last_word and base_labels (array).
 
-    In the laid-out text every word has a space of its own on both sides, so places that follow each other
-    are both found when it is split at a phrase; a piece's spaces give its words.
+    A text is laid out only if it holds all words of some phrase and then the phrase.  In the laid-out text
+    every word has a space of its own on both sides, so places that follow each other are both found when it
+    is split at a phrase; a piece's spaces give its words.
     """
-    laid = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, NOT_WORD, "  ")), F.lit(" "))
-    some = F.rlike(text, F.lit("|".join(NOT_WORD.join(p.split()) for p in phrases)))
-    laid = F.when(some, laid)
-    n_words = F.regexp_count(text, F.lit(WORD)).cast("long")
-    count, first, last, labels = [], [], [], []
-    in_piece = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2
-    for phrase, label in phrases.items():
+    listed = list(phrases.items())
+    for phrase, _ in listed:
         words = phrase.split()
         if words[0] == words[-1] and len(words) > 1:
             raise ValueError("a phrase must not overlap itself")
-        parts = F.split(laid, " " + "  ".join(map(re.escape, words)) + " ", -1)
-        places = F.when(some, F.size(parts) - 1).otherwise(0)
-        count.append(places)
-        first.append(F.when(places > 0, in_piece(F.element_at(parts, 1))))
-        last.append(F.when(places > 0, n_words - in_piece(F.element_at(parts, -1)) - len(words)))
-        labels.append(F.when(places > 0, F.lit(label)))
-    return {
-        "n_words": n_words, "n_base": sum(count[1:], count[0]).cast("long"), "first_word": F.least(*first).cast("long"),
-        "last_word": F.greatest(*last).cast("long"), "base_labels": F.array_distinct(F.array_compact(F.array(*labels))),
-    }
-
-
-def blocks_of(docs: DataFrame, vocabulary: list[str], least: int = 1) -> DataFrame:
-    """doc_id, text_hash, block, words: the lines of every text as sets of the words that templates have;
-    lines with fewer than ``least`` of them are left out (the length filter)."""
-    text = lowered(F.coalesce("text", F.lit("")))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("block", "line"))
-    wanted = F.array_intersect(F.split("line", NOT_WORD), F.array(*map(F.lit, vocabulary)))
-    return lines.select("doc_id", "text_hash", "block", wanted.alias("words")).where(F.size("words") >= least)
+    in_piece = lambda x: ((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2).cast("long")
+
+    def may_hold(phrase: str) -> Column:
+        test = F.lit(True)
+        for w in sorted(set(phrase.split()), key=len, reverse=True):
+            test = test & F.contains(F.col(low), F.lit(w))
+        return test & F.rlike(F.col(low), F.lit(NOT_WORD.join(map(re.escape, phrase.split()))))
+
+    def run(rows: DataFrame) -> DataFrame:
+        some = F.lit(False)
+        for phrase, _ in listed:
+            some = some | may_hold(phrase)
+        laid = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.col(low), NOT_WORD, "  ")), F.lit(" "))
+        found = rows.withColumn("__laid", F.when(some, laid)).withColumn("n_words", count_words(F.col(low)))
+        pieces = [F.split("__laid", " " + "  ".join(map(re.escape, p.split())) + " ", -1) for p, _ in listed]
+        # per phrase: its places, the words before the first and behind the last one
+        digest = lambda x: F.struct((F.size(x) - 1).alias("n"), in_piece(F.element_at(x, 1)).alias("lo"), in_piece(F.element_at(x, -1)).alias("hi"))
+        found = found.withColumn("__hits", F.when(F.col("__laid").isNotNull(), F.transform(F.array(*pieces), digest)))
+        hit = [F.col("__hits")[i] for i in range(len(listed))]
+        is_in = [F.coalesce(h["n"] > 0, F.lit(False)) for h in hit]
+        first = [F.when(t, h["lo"]) for t, h in zip(is_in, hit, strict=True)]
+        last = [F.when(t, F.col("n_words") - h["hi"] - len(p.split())) for t, h, (p, _) in zip(is_in, hit, listed, strict=True)]
+        edge = lambda best, x: F.array_min(F.array(*x)) if best == "min" else F.array_max(F.array(*x))
+        return found.withColumns({
+            "n_base": sum((F.coalesce(h["n"], F.lit(0)) for h in hit), F.lit(0)).cast("long"), "first_word": edge("min", first), "last_word": edge("max", last),
+            "base_labels": F.array_distinct(F.array_compact(F.array(*[F.when(t, F.lit(label)) for t, (_, label) in zip(is_in, listed, strict=True)]))),
+        }).drop("__laid", "__hits")
+
+    return run
+
+
+def template_sets(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, list[str], int]]:
+    """Number, label, distinct words and how many of them a block must hold, of every template that has words.
+
+    Templates are a parameter of at most 10,000 (else ValueError), so their table may be broadcast."""
+    if len(templates) > 10_000:
+        raise ValueError("too many templates for a broadcast")
+    sets = [(i, label, tokens(text)) for i, (label, text) in enumerate(templates)]
+    return [(i, label, words, max(1, math.ceil(threshold * len(words) - 1e-9))) for i, label, words in sets if words]
 
 
-def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, block (line number from 0), template, label, containment: every text block that
-    holds at least ``threshold`` of a template's distinct words.
+def blocks_of(low: str, sets: list[tuple[int, str, list[str], int]]) -> Column:
+    """array<struct<block, words>>: the lines of a lower-cased text as sets of the words that templates have;
+    lines with fewer of them than any template needs are left out (the length filter)."""
+    vocabulary = sorted({w for _, _, words, _ in sets for w in words})
+    least = min((need for *_, need in sets), default=1)
+    known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
+    lines = F.split(F.regexp_replace(F.col(low), NOT_WORD_IN_LINE, " "), "\n", -1)
+    sized = F.transform(lines, lambda line, i: F.struct(i.alias("block"), F.array_intersect(F.split(line, " ", -1), known).alias("words")))
+    return F.filter(sized, lambda b: F.size(b["words"]) >= least)
 
-    All template words are ranked by how many blocks of the corpus hold them, rarest first.  A block and a
-    template that share enough words share one in the prefix of each: the first |T| - need + 1 words of the
-    template and the first |B| - need + 1 of the block.  Blocks are joined with templates on the words of
-    both prefixes; a pair lives on if the places of the shared word leave enough words behind it; then
-    the sets are compared whole.  Exact: no block is missed.
 
-    Templates are a parameter of at most 10,000 (else ValueError), so their table may be broadcast.
-    """
-    if len(templates) > 10_000:
-        raise ValueError("too many templates for a broadcast")
-    spark = docs.sparkSession
-    sets = [(i, label, tokens(text)) for i, (label, text) in enumerate(templates) if tokens(text)]
-    need = {i: max(1, math.ceil(threshold * len(words) - 1e-9)) for i, _, words in sets}
+def _joined(rows: DataFrame, sets: list[tuple[int, str, list[str], int]]) -> DataFrame:
+    """The set-similarity join of rows (doc_id, text_hash, blocks) with the template sets."""
+    spark = rows.sparkSession
     if not sets:
-        kind = docs.schema["doc_id"].dataType.simpleString()
+        kind = rows.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"doc_id {kind}, text_hash long, block int, template int, label string, containment double")
-    vocabulary = sorted({w for _, _, words in sets for w in words})
-    counted = blocks_of(docs, vocabulary).select(F.explode("words").alias("w")).groupBy("w").count().collect()
-    seen = {r.w: r["count"] for r in counted}
-    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
-    rows = []
-    for i, label, words in sets:
+    each = rows.select("doc_id", "text_hash", F.explode("blocks").alias("b")).select("doc_id", "text_hash", "b.block", "b.words")
+    # at most the templates' words reach the driver
+    seen = {r.w: r["count"] for r in each.select(F.explode("words").alias("w")).groupBy("w").count().collect()}
+    vocabulary = sorted({w for _, _, words, _ in sets for w in words}, key=lambda w: (seen.get(w, 0), w))
+    rank = {w: i for i, w in enumerate(vocabulary)}
+    prefixes = []
+    for i, label, words, need in sets:
         ranks = sorted(rank[w] for w in words)
-        rows += [(i, label, need[i], ranks, r, at) for at, r in enumerate(ranks[: len(ranks) - need[i] + 1])]
-    prefixes = spark.createDataFrame(rows, "template int, label string, need int, t_ranks array<int>, rank int, t_at int")
-    ranks_of = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    keys = sorted({r[4] for r in rows})
-    least = min(need.values())
-    b = blocks_of(docs, vocabulary, least).withColumn("b_ranks", F.array_sort(F.transform("words", lambda w: ranks_of[w])))
+        prefixes += [(i, label, need, ranks, r, at) for at, r in enumerate(ranks[: len(ranks) - need + 1])]
+    keys = sorted({r[4] for r in prefixes})
+    least = min(need for *_, need in sets)
+    prefixes = spark.createDataFrame(prefixes, "template int, label string, need int, t_ranks array<int>, rank int, t_at int")
+    ranks_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
+    b = each.withColumn("b_ranks", F.array_sort(F.transform("words", lambda w: ranks_of[w])))
     probe = b.select("doc_id", "text_hash", "block", "b_ranks", F.posexplode(F.slice("b_ranks", F.lit(1), F.size("b_ranks") - least + 1)).alias("b_at", "rank")).where(F.col("rank").isin(keys))
     size_b, size_t = F.size("b_ranks"), F.size("t_ranks")
     joined = probe.join(F.broadcast(prefixes), "rank").where(
@@ -127,6 +154,31 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     )
 
 
+def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """doc_id, text_hash, block (line number from 0), template, label, containment: every text block that
+    holds at least ``threshold`` of a template's distinct words.
+
+    All template words are ranked by how many blocks of the corpus hold them, rarest first, among the blocks
+    long enough to match at all.  A block and a template that share enough words share one in the prefix of
+    each: the first |T| - need + 1 words of the template and the first |B| - need + 1 of the block.  Blocks
+    are joined with templates on the words of both prefixes; a pair lives on if the places of the shared
+    word leave enough words behind it; then the sets are compared whole.  Exact: no block is missed.
+
+    Null texts are empty; repeated rows are answered each; other columns are ignored.
+    """
+    sets = template_sets(templates, threshold)
+    low = docs.select("doc_id", lowered(F.coalesce("text", F.lit(""))).alias("low"))
+    return _joined(materialize(low.select("doc_id", F.xxhash64("low").alias("text_hash"), blocks_of("low", sets).alias("blocks")), "blocks"), sets)
+
+
+def scan_once(docs: DataFrame, phrases: dict[str, str], sets: list[tuple[int, str, list[str], int]]) -> DataFrame:
+    """The phrase columns of every text and its blocks, in one pass over the texts."""
+    low = docs.select("doc_id", lowered(F.coalesce("text", F.lit(""))).alias("low"))
+    return phrase_scan("low", phrases)(low).select(
+        "doc_id", F.xxhash64("low").alias("text_hash"), "n_words", "n_base", "first_word", "last_word", "base_labels", blocks_of("low", sets).alias("blocks")
+    )
+
+
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (sorted arrays), score.
 
@@ -135,14 +187,15 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     templates'; score: the highest containment of a template that some block matches, else 0.
 
     Null texts are empty (0 words); repeated rows are answered each; an empty table gives an empty result;
-    other columns are ignored.  The text is not shuffled: only matches and the narrow rows they join are.
+    other columns are ignored.  The texts are read once: what the join needs of them, the template words of
+    the lines that can match, is written beside the phrase columns.  No text is shuffled.
     """
-    base = phrase_scan(lowered(F.coalesce("text", F.lit(""))), phrases)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), *[c.alias(k) for k, c in base.items()])
-    found = template_matches(docs, templates, threshold).groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(
+    sets = template_sets(templates, threshold)
+    rows = materialize(scan_once(docs, phrases, sets), "license-scan")
+    found = _joined(rows.where(F.size("blocks") > 0), sets).groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )
-    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
+    both = rows.drop("blocks").join(found, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
     none = F.array().cast("array<string>")
     return both.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_sort("base_labels").alias("base_labels"),

@@ -258,8 +258,13 @@ def test_licenses(spark, no_docs):
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, str(r.base_labels), str(r.labels), round(r.score, 6)) for r in got) == want
     assert any("apache-2.0" in r.labels for r in got) and any("mit-license" in r.labels for r in got)
     assert licenses.license_scan(no_docs).count() == 0
-    plan = licenses.license_scan(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
+    sets = licenses.template_sets(licenses.TEMPLATES, 0.8)
+    for part in (licenses.license_scan(docs), licenses.scan_once(docs, licenses.PHRASES, sets), licenses.template_matches(docs)):
+        plan = part._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert licenses.template_matches(no_docs).count() == 0
+    found = {(r.doc_id, r.block, r.label) for r in licenses.template_matches(docs).collect()}
+    assert (1, 0, "apache-2.0") in found and (6, 0, "mit-license") in found and not any(i == 3 for i, _, _ in found)
 
 
 def test_compact_windows_are_the_cartesian_tree():
