@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: A node with more rows than this is met by a broadcast.
+HUB = 1_000_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """rows (u, v) with the m of their u.  Hubs, nodes of so many rows that there are at most 200,000 of them,
+    are broadcast to their rows, which stay where they are; the others meet in a shuffle."""
+    most = max(HUB, n // 200_000)
+    if n <= most:
+        return rows.join(least, rows.u == least.k)
+    hubs = F.broadcast(least.where(F.col("rows") > most))
+    rest = rows.join(hubs.select("k"), rows.u == F.col("k"), "left_anti")
+    return rows.join(hubs, rows.u == F.col("k")).union(rest.join(least, rest.u == least.k))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(src, dst) links, in either direction and possibly repeated, to (node, root): root is the smallest
     node reachable.  Only nodes that have a link appear; empty edges give an empty table.
@@ -21,26 +36,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(),
         "edges",
     )
-    last = None
+    count = F.count("*").alias("n")
+    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
+    last = e.agg(count, digest).first()
     for _ in range(max_rounds):
+        if not last.n:
+            break
         # large star: each node's strictly larger neighbours, joined to its smallest neighbour or itself
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, both.u == least.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        ).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "rows")
+        large = _with_least(both, least, 2 * last.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each node's smaller neighbours and itself, joined to the smallest of them
         large = materialize(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(least, large.u == least.k)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select(F.col("u").alias("k"), "m", "rows")
         small = (
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _with_least(large, least, 2 * last.n).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
-        )
+        )
         e = materialize(small, "small-star")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = e.agg(count, digest).first()
         if now == last:
             break
         last = now

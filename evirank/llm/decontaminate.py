@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, batches, bytes_of
+from .common import ALNUM, batches, broadcast_if_small, bytes_of, materialize, quoted, text_hash
 
 #: Benchmark text of one broadcast block at most; more items make more blocks, which tasks load in turn.
 BLOCK_BYTES = 32 << 20
@@ -29,8 +29,13 @@ class Items:
     """A block of benchmark items as word numbers: 1.. in sorted order, 0 for a word no item has."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        split = [(i, w) for i, t in items if (w := words(t))]
-        self.ids = [i for i, _ in split]
+        # items of the same words are one text with several ids
+        texts: dict[tuple[bytes, ...], set[str]] = {}
+        for i, t in items:
+            if w := words(t):
+                texts.setdefault(tuple(w), set()).add(i)
+        split = [(sorted(ids), w) for w, ids in texts.items()]
+        self.ids = [ids for ids, _ in split]
         self.number = {w: k + 1 for k, w in enumerate(sorted({x for _, w in split for x in w}))}
         text = [self.number[x] for _, w in split for x in w]
         sizes = np.array([len(w) for _, w in split], np.int64)
@@ -179,15 +184,15 @@ def _pack(benchmark: DataFrame, window: int, block_bytes: int) -> list[Broadcast
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items, spans, matches: one row per input row.
+    """doc_id, text_hash, n_words, n_hit, items, spans, matches: one row per input row.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.  A window is
     ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.  Each
     training shard (whole documents, about ``shard_words`` words, of the batches that its task reads) gets
     a suffix array over the suffixes that begin with a benchmark word; every item suffix that starts a
     window is searched for in it.  spans: (start, end) word ranges that windows cover, merged; n_hit: the
-    words in them; matches: the longest verbatim matches, with their places in document and item; items:
-    the ids of the items with an occurring window, sorted as strings.
+    words in them; matches: the longest verbatim matches, with their places in document and item (of items with
+    the same words, the smallest id); items: the ids of all items with an occurring window, sorted as strings.
 
     Null and empty texts have no words; items without words have no window; repeated rows and items count
     each, but an id is listed once (a null id as ''); an empty benchmark hits nothing; an empty table gives
@@ -208,14 +213,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes
                 held[k] = Items(pickle.loads(zlib.decompress(blocks[k].value)), window)
             return held[k]
 
-        def shard(ids: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
+        def shard(ids: pa.Array, hashes: pa.Array, texts: list[bytes | None]) -> pa.RecordBatch:
             cover, offsets, found = None, np.zeros(1, np.int64), [[] for _ in texts]
+            listed: list[set[str]] = [set() for _ in texts]
             for k in range(len(blocks)):
                 items = items_of(k)
                 offsets, mine, rows = scan(texts, items)
                 cover = mine if cover is None else cover | mine
                 for doc, *m in rows.tolist():
-                    found[doc].append((items.ids[m[0]], *m[1:]))
+                    found[doc].append((items.ids[m[0]][0], *m[1:]))
+                    listed[doc].update(items.ids[m[0]])
             total = np.concatenate(([0], np.cumsum(cover)))
             hit = total[offsets[1:]] - total[offsets[:-1]]
             spans: list[list] = [[] for _ in texts]
@@ -224,11 +231,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes
                 spans[i] = [{"start": a, "end": z} for a, z in edge.reshape(-1, 2).tolist()]
             return pa.RecordBatch.from_arrays(
                 [
-                    ids, pa.array(np.diff(offsets) - 1, pa.int64()), pa.array(hit, pa.int64()),
-                    pa.array([sorted({m[0] for m in f}) for f in found], pa.list_(pa.string())), pa.array(spans, pa.list_(span)),
+                    ids, hashes, pa.array(np.diff(offsets) - 1, pa.int64()), pa.array(hit, pa.int64()),
+                    pa.array([sorted(x) for x in listed], pa.list_(pa.string())), pa.array(spans, pa.list_(span)),
                     pa.array([[dict(zip(("item", "doc_start", "item_start", "words"), m, strict=True)) for m in f] for f in found], pa.list_(match)),
                 ],
-                ["doc_id", "n_words", "n_hit", "items", "spans", "matches"],
+                ["doc_id", "text_hash", "n_words", "n_hit", "items", "spans", "matches"],
             )
 
         for b in batches(rows):
@@ -237,17 +244,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes
                 texts.append(text)
                 size += len(text or b"")
                 if size >= 6 * shard_words or at == b.num_rows - 1:  # about six bytes a word
-                    yield shard(b.column(0).slice(first, at + 1 - first), texts)
+                    yield shard(b.column(0).slice(first, at + 1 - first), b.column(2).slice(first, at + 1 - first), texts)
                     texts, size, first = [], 0, at + 1
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
+    return docs.select("doc_id", F.col("text").cast("string"), text_hash()).mapInArrow(
         run,
-        f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, "
+        f"doc_id {kind}, text_hash long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, "
         "matches array<struct<item:string,doc_start:long,item_start:long,words:long>>",
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents that hold no window of any item, with all their columns; rows of a doc_id go together."""
-    hit = matches(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit_id")), "left_anti")
+    """The documents that hold no window of any item, with all their columns, whatever the names.
+
+    Each row is judged by its own text; rows of a doc_id, or without one, stay or go on their own.  Null and empty
+    texts stay; an empty benchmark keeps all; an empty table gives an empty result.
+    """
+    hit = matches(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_text")).distinct()
+    hit = broadcast_if_small(materialize(hit, "contaminated"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), text_hash().alias("__text"))
+    kept = rows.join(hit, F.col("__id").eqNullSafe(F.col("__hit_id")) & (F.col("__text") == F.col("__hit_text")), "left_anti")
+    return kept.select("__row.*")

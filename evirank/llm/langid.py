@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .common import batches, bounded_sample, bytes_of
@@ -135,5 +136,4 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[Column
                 ["doc_id", "lang_pred", "score", *kept],
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema]
-    return source.mapInArrow(run, ", ".join([fields[0], "lang_pred string", "score double", *fields[2:]]))
+    return source.mapInArrow(run, StructType([source.schema[0], *StructType.fromDDL("lang_pred string, score double").fields, *source.schema.fields[2:]]))

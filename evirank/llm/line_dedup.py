@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ASCII_SPACE, LOWER, batches, bytes_of, materialize
+from .common import ASCII_SPACE, LOWER, batches, bytes_of, materialize, quoted
 
 
 
@@ -191,7 +192,7 @@ class LineIndex:
         drops = self.drops(min_docs).select(F.col("doc_id").alias("__lost_id"), F.col("keys").alias("__keys"))
         source = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep)
         kept = source.columns[2:]
-        both = source.join(drops, F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left").select("doc_id", "text", "__keys", *kept)
+        both = source.join(drops, F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left").select("doc_id", "text", "__keys", *map(quoted, kept))
         limit = self.min_chars
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +210,8 @@ class LineIndex:
                 out = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), out, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), *(b.column(3 + i) for i in range(len(kept)))], ["doc_id", "text", "n_lines", "n_dropped", *kept])
 
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema]
-        return both.mapInArrow(run, ", ".join([*fields[:2], "n_lines long, n_dropped long", *fields[2:]]))
+        made = StructType([*source.schema.fields[:2], *StructType.fromDDL("n_lines long, n_dropped long").fields, *source.schema.fields[2:]])
+        return both.mapInArrow(run, made)
 
 
 def _count(rows: DataFrame) -> DataFrame:

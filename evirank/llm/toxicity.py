@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ALNUM, batches, bounded_sample, bytes_of
 
@@ -264,5 +265,5 @@ def score(docs: DataFrame, model: Model, keep: list[Column | str] = ()) -> DataF
                 [b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(b.column(2 + i) for i in range(len(kept)))], ["doc_id", "score", "predicted", *kept]
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema]
-    return source.mapInArrow(run, ", ".join([fields[0], "score double", "predicted int", *fields[2:]]))
+    made = StructType([source.schema[0], *StructType.fromDDL("score double, predicted int").fields, *source.schema.fields[2:]])
+    return source.mapInArrow(run, made)

@@ -8,9 +8,10 @@ import re
 import numpy as np
 import pytest
 from test_llm_text_ops import hits_brute, lines_brute, union_find
+from test_near_copies import jaccard, shingles
 
 import corpus_pipeline
-from evirank.llm import mixing, queries, simhash, toxicity
+from evirank.llm import mixing, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,9 +22,9 @@ def test_pipeline_against_brute_force(spark):
     model = toxicity.train(docs, queries.training_labels(spark, SF))
     rows = [r for r in docs.collect() if model.probability(np.array([model.top_run(model.words(toxicity.words_of((r.text or "").encode())))]))[0] < 0.5]
     texts = {i: t for i, _, _, t in lines_brute(rows)}
-    fps = {i: simhash.fingerprint(t.encode(), 5, 4) for i, t in texts.items()}
-    near = [(a, b) for a in fps for b in fps if a < b and any((x ^ y).bit_count() <= 5 for x, y in zip(fps[a], fps[b], strict=True))]
-    root = union_find(fps, near)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    root = union_find(sets, near)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     kept = {r.doc_id: r.source for r in rows if root[r.doc_id] == r.doc_id and not hits_brute(texts[r.doc_id], items)[1]}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
