@@ -47,8 +47,11 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The non-empty batches."""
-    return (b for b in rows if b.num_rows)
+    """The non-empty batches.  A worker serves task after task, so what Arrow holds unused goes back at the end."""
+    for b in rows:
+        if b.num_rows:
+            yield b
+    pa.default_memory_pool().release_unused()
 
 
 def bounded_sample(rows: DataFrame, key: str, max_rows: int, max_bytes: int, text: str = "text", seed: int = 7) -> DataFrame:

@@ -18,7 +18,7 @@ from .common import ALNUM, batches, broadcast_if_small, bytes_of, materialize, q
 #: Benchmark text of one broadcast block at most; more items make more blocks, which tasks load in turn.
 BLOCK_BYTES = 32 << 20
 #: A training shard's suffix array has about so many words.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 
 
 def words(text: bytes | None) -> list[bytes]:

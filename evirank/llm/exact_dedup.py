@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, bytes_of, materialize
+from .common import batches, bytes_of, materialize, rows_with, text_hash
 
 
 def golomb_encode(values: np.ndarray, span_bits: int) -> tuple[int, bytes]:
@@ -60,12 +59,9 @@ def fingerprints(docs: DataFrame, owner_bits: int) -> DataFrame:
 
         for b in batches(rows):
             block = uuid.uuid4().hex  # one task attempt's output is kept, so a block is whole and unique
-            ids, fp, sha = b.column(0), [], []
-            for t in bytes_of(b.column(1)):
-                t = t or b""
-                fp.append(xxhash.xxh3_64_intdigest(t))
-                sha.append(hashlib.sha256(t).hexdigest())
-            fp = np.array(fp, np.uint64)
+            ids = b.column(0)
+            fp = np.asarray(b.column(2)).view(np.uint64)
+            sha = [hashlib.sha256(t or b"").hexdigest() for t in bytes_of(b.column(1))]
             n = len(fp)
             yield out(["doc"] * n, [block] * n, ids, fp.view(np.int64), sha, [None] * n, [None] * n, [None] * n, [None] * n)
             distinct = np.unique(fp)
@@ -89,7 +85,7 @@ def fingerprints(docs: DataFrame, owner_bits: int) -> DataFrame:
             ["kind", "block", "doc_id", "fp", "text_sha256", "owner", "n", "k", "blob"],
         )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, spec)
+    return docs.select("doc_id", F.col("text").cast("string"), text_hash()).mapInArrow(run, spec)
 
 
 def _bitmaps(keys: tuple, sent: pa.Table) -> pa.Table:
@@ -116,7 +112,7 @@ def _suspects(owner_bits: int):
         for o, bits in zip(back["owner"].to_pylist(), back["bitmap"].to_pylist(), strict=True):
             m = last[o] - first[o]
             twice[first[o] : last[o]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=m).astype(bool)
-        return pa.table({"doc_id": docs["doc_id"], "text_sha256": docs["text_sha256"], "suspect": pa.array(twice[inverse] if len(fp) else [], pa.bool_())})
+        return pa.table({"doc_id": docs["doc_id"], "text_sha256": docs["text_sha256"], "fp": docs["fp"], "suspect": pa.array(twice[inverse] if len(fp) else [], pa.bool_())})
 
     return run
 
@@ -131,7 +127,8 @@ def exact_dedup(docs: DataFrame, owner_bits: int | None = None) -> DataFrame:
     1. Each block of rows sends its owners their sorted, Rice-coded distinct 64-bit fingerprints.
     2. Owners answer with one bit per fingerprint: seen in another block too.
     3. Only suspects' texts are shuffled, and grouped by their full bytes with map-side combine, so a
-       group that holds a third of all rows is one row per map task.
+       group that holds a third of all rows is one row per map task.  Up to ``BROADCAST_KEYS`` suspect
+       fingerprints are sent to the texts; only beyond that do all texts meet them in a shuffle.
     4. Groups are linked back by SHA-256, or by the bytes where two texts should share one.
 
     owner_bits: 2**owner_bits owners; by default one per 2 million rows, at least 16.
@@ -144,11 +141,11 @@ def exact_dedup(docs: DataFrame, owner_bits: int | None = None) -> DataFrame:
     back = pass1.where("kind = 'sent'").select("block", "owner", "n", "k", "blob").groupBy("owner").applyInArrow(_bitmaps, "block string, owner long, bitmap binary")
     rows = pass1.where("kind = 'doc'").select("block", "doc_id", "fp", "text_sha256")
     marked = materialize(
-        rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_suspects(owner_bits), f"doc_id {id_type}, text_sha256 string, suspect boolean"),
+        rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_suspects(owner_bits), f"doc_id {id_type}, text_sha256 string, fp long, suspect boolean"),
         "suspects",
     )
-    suspects = marked.where("suspect").select(F.col("doc_id").alias("s_id")).distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(suspects, F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi")
+    suspects = marked.where("suspect").select("fp").distinct()
+    texts = rows_with(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), text_hash().alias("fp")), "fp", suspects)
     groups = materialize(
         texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select(F.sha2("text", 256).alias("g_sha"), "keep_id", "group_size", "text")

@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 from .common import ASCII_SPACE, LOWER, batches, bytes_of, materialize, quoted
 
 
+#: Common keys that are sent to all documents: 16 bytes of key, two or three of filter and a doc_id each.
+BROADCAST_LINES = 500_000
+
 
 def line_key(line: bytes) -> bytes:
     """Stripped of ASCII white space at both ends, A-Z lower-cased."""
@@ -122,12 +125,13 @@ def postings(docs: DataFrame, min_chars: int = 40, shards: int = 64) -> DataFram
 
 @dataclass
 class LineIndex:
-    """postings: (key, shard, doc_id), exact.  refs: (key, shard, n_docs, keeper), the exact reference
-    counts and the largest doc_id of each key.  filters: (shard, filter), a cuckoo filter of a shard's keys.
-    All three are tables in the shared folder; every change makes new ones, so an old index stays valid."""
+    """postings: (key, shard, doc_id), exact.  deltas: (key, shard, n_docs, keeper), what each insert added to
+    the exact reference counts and largest doc_ids; ``refs`` sums them up.  filters: (shard, filter), a
+    cuckoo filter of a shard's keys.  All are tables in the shared folder; a change adds to them or makes new
+    ones, so an old index stays valid."""
 
     postings: DataFrame
-    refs: DataFrame
+    deltas: DataFrame
     filters: DataFrame
     min_chars: int
     shards: int
@@ -140,30 +144,36 @@ class LineIndex:
             make("shard int, filter binary"), min_chars, shards,
         )
 
+    @property
+    def refs(self) -> DataFrame:
+        """(key, shard, n_docs, keeper): the exact reference count and the largest doc_id of each key."""
+        return self.deltas.groupBy("key", "shard").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with the documents' lines added; postings it has already do not count again.
 
-        Keys that a shard's filter rules out are new: their counts are final without a look into the
-        exact table.  Only the others are joined with it.
+        Keys that a shard's filter rules out are new: no exact table is read for them.  Only the others meet
+        the postings and counts that they may have.  Postings and counts grow by what is new, a filter takes
+        the new keys in, and only a filter without room for them is built again.
         """
-        fresh = postings(docs, self.min_chars, self.shards)
-        if self.postings.isEmpty():
-            new = materialize(fresh, "postings")
-            refs = materialize(_count(new), "refs")
-            return LineIndex(new, refs, materialize(self._filters(refs), "filters"), self.min_chars, self.shards)
-        key_doc = ["key", "shard", "doc_id"]
-        fresh = materialize(fresh.join(self.postings.withColumnRenamed("doc_id", "d"), (fresh.key == self.postings.key) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti"), "fresh")
-        counted = materialize(_count(fresh).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, _count(fresh).schema.add("seen", "boolean")), "probed")
-        old = self.refs.select("key", F.col("n_docs").alias("n0"), F.col("keeper").alias("k0"))
-        merged = (
-            counted.where("seen").join(old, "key", "left")
-            .select("key", "shard", (F.col("n_docs") + F.coalesce("n0", F.lit(0))).alias("n_docs"), F.greatest("keeper", "k0").alias("keeper"))
-        )
-        refs = materialize(
-            self.refs.join(counted.where("seen").select("key"), "key", "left_anti").select("key", "shard", "n_docs", "keeper")
-            .union(merged).union(counted.where("not seen").drop("seen")), "refs",
-        )
-        return LineIndex(materialize(self.postings.select(key_doc).union(fresh.select(key_doc)), "postings"), refs, materialize(self._filters(refs), "filters"), self.min_chars, self.shards)
+        fresh = materialize(postings(docs, self.min_chars, self.shards), "fresh")
+        if self.filters.isEmpty():
+            delta = materialize(_count(fresh), "delta")
+            return LineIndex(fresh, delta, materialize(_filters(delta), "filters"), self.min_chars, self.shards)
+        keys = fresh.select("key", "shard").distinct()
+        probed = materialize(keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, "key binary, shard int, seen boolean"), "probed")
+        seen = probed.where("seen").select(F.col("key").alias("k"))
+        had = self.postings.join(seen, F.col("key") == F.col("k"), "left_semi").select(F.col("key").alias("k"), F.col("doc_id").alias("d"))
+        fresh = materialize(fresh.join(had, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_anti").select("key", "shard", "doc_id"), "fresh")
+        # a filter may take a new key for an old one: it goes in like the others, so that it can be deleted
+        known = self.deltas.select(F.col("key").alias("k"))
+        new = probed.where("not seen").select("key", "shard").union(probed.where("seen").select("key", "shard").join(known, F.col("key") == F.col("k"), "left_anti"))
+        deltas = self.deltas.union(materialize(_count(fresh), "delta"))
+        taken = materialize(self.filters.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(_take, "shard int, filter binary"), "taken")
+        full = taken.where("filter is null").select(F.col("shard").alias("s"))
+        again = _filters(deltas.select("key", "shard").distinct().join(F.broadcast(full), F.col("shard") == F.col("s"), "left_semi"))
+        filters = materialize(taken.where("filter is not null").union(again), "filters")
+        return LineIndex(self.postings.union(fresh), deltas, filters, self.min_chars, self.shards)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents of ``ids`` (column doc_id): counts go down, keepers are found
@@ -178,46 +188,116 @@ class LineIndex:
         filters = materialize(self.filters.groupBy("shard").cogroup(dead.groupBy("shard")).applyInArrow(_forget, "shard int, filter binary"), "filters")
         return LineIndex(rest, refs, filters, self.min_chars, self.shards)
 
-    def _filters(self, refs: DataFrame) -> DataFrame:
-        return refs.select("shard", "key").groupBy("shard").applyInArrow(_build, "shard int, filter binary")
-
-    def drops(self, min_docs: int = 5) -> DataFrame:
+    def drops(self, common: DataFrame) -> DataFrame:
         """(doc_id, keys): the digests of the lines that each document loses."""
-        many = self.refs.where(F.col("n_docs") >= min_docs).select(F.col("key").alias("k"), "keeper")
+        many = common.select(F.col("key").alias("k"), "keeper")
         lost = self.postings.join(many, self.postings.key == F.col("k")).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame, min_docs: int = 5, keep: list[Column | str] = ()) -> DataFrame:
-        """doc_id, text (the lines that stay, joined by newlines), n_lines, n_dropped, the columns ``keep``."""
-        drops = self.drops(min_docs).select(F.col("doc_id").alias("__lost_id"), F.col("keys").alias("__keys"))
+        """doc_id, text (the lines that stay, joined by newlines), n_lines, n_dropped, the columns ``keep``.
+
+        Up to ``BROADCAST_LINES`` common keys go to the documents: a cuckoo filter of them is asked for every
+        long line, and the lines it lets through are looked up in the exact table of keepers.  No text is
+        shuffled.  More common keys meet the postings in a shuffle, and the documents their lost keys.
+        """
+        common = materialize(self.refs.where(F.col("n_docs") >= min_docs).select("key", "keeper"), "common")
         source = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep)
-        kept = source.columns[2:]
-        both = source.join(drops, F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left").select("doc_id", "text", "__keys", *map(quoted, kept))
-        limit = self.min_chars
-
-        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches(rows):
-                texts, lines, dropped = [], [], []
-                for text, keys in zip(bytes_of(b.column(1)), b.column(2).to_pylist(), strict=True):
-                    split = (text or b"").split(b"\n")
-                    stay = split
-                    if keys:
-                        lose = set(keys)
-                        stay = [x for x in split if len(k := line_key(x)) < limit or digest(k) not in lose]
-                    lines.append(len(split))
-                    dropped.append(len(split) - len(stay))
-                    texts.append(text if len(stay) == len(split) else b"\n".join(stay))
-                out = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), out, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), *(b.column(3 + i) for i in range(len(kept)))], ["doc_id", "text", "n_lines", "n_dropped", *kept])
-
-        made = StructType([*source.schema.fields[:2], *StructType.fromDDL("n_lines long, n_dropped long").fields, *source.schema.fields[2:]])
-        return both.mapInArrow(run, made)
+        if common.count() <= BROADCAST_LINES:
+            table = docs.sparkSession.sparkContext.broadcast(Keepers.of(common.toArrow()))
+            return _edited(source, None, lambda: table.value, self.min_chars)
+        drops = self.drops(common).select(F.col("doc_id").alias("__lost_id"), F.col("keys").alias("__keys"))
+        both = source.join(drops, F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left")
+        return _edited(both, "__keys", None, self.min_chars)
+
+
+@dataclass
+class Keepers:
+    """The common keys: a cuckoo filter in front of the exact table, sorted digests and their keepers."""
+
+    filter: bytes
+    keys: np.ndarray
+    ids: list
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Keepers:
+        halves = _halves(rows["key"])
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        filled = Cuckoo(len(halves))
+        filled.insert(halves)
+        return cls(filled.dump(), halves[order], rows["keeper"].take(pa.array(order)).to_pylist())
+
+    def lost(self, wanted: Cuckoo, digests: list[bytes], doc_ids: list) -> np.ndarray:
+        """Which of the lines, given by digest and document, are common and have another keeper."""
+        out = np.zeros(len(digests), bool)
+        if not len(self.keys) or not digests:
+            return out
+        asked = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        maybe = np.flatnonzero(wanted.contains(asked))
+        first = np.searchsorted(self.keys[:, 0], asked[maybe, 0])
+        for i, at in zip(maybe.tolist(), first.tolist(), strict=True):
+            while at < len(self.keys) and self.keys[at, 0] == asked[i, 0]:
+                if self.keys[at, 1] == asked[i, 1]:
+                    out[i] = self.ids[at] != doc_ids[i]
+                    break
+                at += 1
+        return out
+
+
+def _edited(source: DataFrame, keys: str | None, keepers, min_chars: int) -> DataFrame:
+    """Rows (doc_id, text, ...) without the lines they lose, by the column ``keys`` of digests or by ``keepers``."""
+    kept = [f for f in source.schema.fields[2:] if f.name not in ("__lost_id", "__keys")]
+    columns = ["doc_id", "text", *(quoted(f.name) for f in kept), *([keys] if keys else [])]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = keepers() if keepers else None
+        wanted = Cuckoo.load(table.filter) if table else None
+        for b in batches(rows):
+            ids, texts, lines, dropped = b.column(0).to_pylist(), bytes_of(b.column(1)), [], []
+            lost_keys = b.column(2 + len(kept)).to_pylist() if keys else [None] * len(ids)
+            split = [(t or b"").split(b"\n") for t in texts]
+            digests, of_doc, at = [], [], []
+            for i, parts in enumerate(split):
+                if keys and not lost_keys[i]:
+                    continue
+                for j, x in enumerate(parts):
+                    if len(x) >= min_chars and len(k := line_key(x)) >= min_chars and code_points(k) >= min_chars:
+                        digests.append(digest(k))
+                        of_doc.append(i)
+                        at.append(j)
+            if keys:
+                sets = {i: set(lost_keys[i]) for i in set(of_doc)}
+                lost = [d in sets[i] for d, i in zip(digests, of_doc, strict=True)]
+            else:
+                lost = table.lost(wanted, digests, [ids[i] for i in of_doc]).tolist()
+            gone: dict[int, set[int]] = {}
+            for i, j, x in zip(of_doc, at, lost, strict=True):
+                if x:
+                    gone.setdefault(i, set()).add(j)
+            for i, parts in enumerate(split):
+                out = gone.get(i, ())
+                lines.append(len(parts))
+                dropped.append(len(out))
+                if out:
+                    texts[i] = b"\n".join([x for j, x in enumerate(parts) if j not in out])
+            made = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), made, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), *(b.column(2 + i) for i in range(len(kept)))],
+                ["doc_id", "text", "n_lines", "n_dropped", *(f.name for f in kept)],
+            )
+
+    made = StructType([*source.schema.fields[:2], *StructType.fromDDL("n_lines long, n_dropped long").fields, *kept])
+    return source.select(*columns).mapInArrow(run, made)
 
 
 def _count(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key", "shard").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
 
 
+def _filters(keys: DataFrame) -> DataFrame:
+    return keys.select("shard", "key").groupBy("shard").applyInArrow(_build, "shard int, filter binary")
+
+
 def _build(rows: pa.Table) -> pa.Table:
     filled = Cuckoo(2 * rows.num_rows)
     filled.insert(_halves(rows["key"]))
@@ -227,7 +307,20 @@ def _build(rows: pa.Table) -> pa.Table:
 def _probe(rows: pa.Table, filters: pa.Table) -> pa.Table:
     data = filters["filter"].to_pylist()
     seen = Cuckoo.load(data[0]).contains(_halves(rows["key"])) if data and rows.num_rows else np.zeros(rows.num_rows, bool)
-    return rows.append_column("seen", pa.array(seen, pa.bool_()))
+    return rows.select(["key", "shard"]).append_column("seen", pa.array(seen, pa.bool_()))
+
+
+def _take(filters: pa.Table, new: pa.Table) -> pa.Table:
+    """A shard's filter with the new keys; null if it has no room for them."""
+    data = filters["filter"].to_pylist()
+    shard = (filters["shard"] if data else new["shard"]).to_pylist()[:1]
+    if data and not new.num_rows:
+        return pa.table({"shard": pa.array(shard, pa.int32()), "filter": pa.array(data, pa.binary())})
+    held = Cuckoo.load(data[0]) if data else Cuckoo(2 * new.num_rows)
+    room = np.count_nonzero(held.table == 0) - 0.2 * held.table.size >= new.num_rows
+    if room:
+        held.insert(_halves(new["key"]))
+    return pa.table({"shard": pa.array(shard, pa.int32()), "filter": pa.array([held.dump() if room else None], pa.binary())})
 
 
 def _forget(filters: pa.Table, dead: pa.Table) -> pa.Table:

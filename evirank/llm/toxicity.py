@@ -17,7 +17,7 @@ SIZES = (3, 5, 7)
 #: Words whose subwords are held at once in training.
 CHUNK = 20_000
 #: Distinct words whose score a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -56,11 +56,13 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 class Model:
     """Class scores of a text: its words' vectors (each the average of its subwords' embeddings) are
-    averaged over every run of ``window`` words, a linear softmax is applied, and the most toxic run
-    counts.  For two classes the log-odds of a run are the average of its words' log-odds.  Subwords that
-    training saw in too few texts have no vector and count for nothing."""
+    averaged, over the whole text and over every run of ``window`` words, and a linear softmax is applied to
+    each average.  For two classes the log-odds of an average are the average of its words' log-odds.  The
+    text's score is a logistic function of two log-odds, those of the most toxic run and those of the
+    whole text, so that one insult in a long text is not averaged away.  Subwords that training saw in
+    too few texts have no vector and count for nothing."""
 
-    def __init__(self, direction: np.ndarray, bias: float, window: int, scale: tuple[float, float] = (1.0, 0.0)):
+    def __init__(self, direction: np.ndarray, bias: float, window: int, scale: tuple[float, float, float] = (1.0, 0.0, 0.0)):
         self.direction, self.bias, self.window, self.scale = direction.astype(np.float32), bias, window, scale
 
     def words(self, words: list[bytes]) -> np.ndarray:
@@ -70,16 +72,17 @@ class Model:
         part = self.direction[flat].astype(np.float64)
         return np.add.reduceat(part, first) / np.maximum(np.add.reduceat((part != 0).astype(np.int64), first), 1)
 
-    def top_run(self, scores: np.ndarray) -> float:
-        """Log-odds of the most toxic run; a text of no words has the bias alone."""
+    def evidence(self, scores: np.ndarray) -> tuple[float, float]:
+        """Log-odds of the most toxic run and of the whole text; a text of no words has the bias alone."""
         if not len(scores):
-            return self.bias
+            return self.bias, self.bias
         total = np.concatenate(([0.0], np.cumsum(scores)))
         n = min(self.window, len(scores))
-        return self.bias + float((total[n:] - total[:-n]).max()) / n
+        return self.bias + float((total[n:] - total[:-n]).max()) / n, self.bias + float(total[-1]) / len(scores)
 
-    def probability(self, log_odds: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale[0] * log_odds + self.scale[1], -40, 40)))
+    def probability(self, evidence: list[tuple[float, float]] | np.ndarray) -> np.ndarray:
+        x = np.asarray(evidence, np.float64).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.scale[:2]) + self.scale[2], -40, 40)))
 
 
 def _adam(shape, rate: float):
@@ -190,25 +193,25 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
     direction = np.zeros(BUCKETS)
     direction[active] = E @ (W[1] - W[0])
     model = Model(direction, float(b[1] - b[0]), window)
-    # the score of the most toxic run is calibrated on the same texts: two numbers, by Newton steps
+    # the two log-odds are weighed on the same texts: three numbers, by Newton steps
     score = np.concatenate([model.words(part) for _, part in parts])
-    x = np.array([model.top_run(score[i]) for i in ids])
-    mid, wide = x.mean(), x.std() + 1e-9
-    z, ab = (x - mid) / wide, np.array([1.0, 0.0])
+    x = np.array([model.evidence(score[i]) for i in ids])
+    mid, wide = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack(((x - mid) / wide, np.ones(len(x))))
+    ridge, abc = np.array([1e-2, 1e-2, 0.0]), np.array([1.0, 0.0, 0.0])
 
-    def loss(ab: np.ndarray) -> float:
-        return float(np.logaddexp(0, (1 - 2 * y) * (ab[0] * z + ab[1])).sum() + 0.5 * 1e-2 * ab[0] ** 2)
+    def loss(abc: np.ndarray) -> float:
+        return float(np.logaddexp(0, (1 - 2 * y) * (z @ abc)).sum() + 0.5 * (ridge * abc**2).sum())
 
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(ab[0] * z + ab[1], -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(z @ abc, -40, 40)))
         q = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * z).sum() + 1e-2 * ab[0], (p - y).sum()])
-        step = np.linalg.solve(np.array([[(q * z * z).sum() + 1e-2, (q * z).sum()], [(q * z).sum(), q.sum()]]), g)
-        while loss(ab - step) > loss(ab) and np.abs(step).max() > 1e-9:
+        step = np.linalg.solve((z * q[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * abc)
+        while loss(abc - step) > loss(abc) and np.abs(step).max() > 1e-9:
             step /= 2
-        ab = ab - step
-    a, c = ab[0] / wide, ab[1] - ab[0] * mid / wide
-    model.scale = (max(a, 1e-3), c)
+        abc = abc - step
+    weights = abc[:2] / wide
+    model.scale = (float(weights[0]), float(weights[1]), float(abc[2] - weights @ mid))
     return model
 
 
@@ -219,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_bytes: i
     The labels are sampled before the join, so their side is small enough to broadcast and no text is shuffled.
     """
     rows = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").alias("__l_id"), F.col("label").cast("int").alias("__label"))
-    few = bounded_sample(rows.withColumn("__none", F.lit("")), "__l_id", max_docs, max_bytes, "__none").drop("__none").limit(max_docs)
+    few = bounded_sample(rows.withColumn("__none", F.lit("")), "__l_id", max_docs, max_bytes, "__none").drop("__none")
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__l_id"))
     chosen = bounded_sample(joined, "doc_id", max_docs, max_bytes, seed=8)
     got = chosen.select("doc_id", "__label", "text").toArrow().sort_by([("doc_id", "ascending"), ("__label", "ascending"), ("text", "ascending")])
@@ -251,7 +254,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column | str] = ()) -> DataF
                     new = list({w for words in pending for w in words})
                 known.update(zip(new, model.words(new).tolist(), strict=True))
                 for words in pending:
-                    odds.append(model.top_run(np.fromiter(map(known.__getitem__, words), np.float64, len(words))))
+                    odds.append(model.evidence(np.fromiter(map(known.__getitem__, words), np.float64, len(words))))
                 pending, size = [], 0
 
             for t in bytes_of(b.column(1)):
@@ -260,7 +263,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column | str] = ()) -> DataF
                 if size > 200_000:
                     settle()
             settle()
-            p = model.probability(np.array(odds))
+            p = model.probability(odds)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(b.column(2 + i) for i in range(len(kept)))], ["doc_id", "score", "predicted", *kept]
             )

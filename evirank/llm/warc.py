@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -273,7 +274,12 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
 
     path, offset, length, kind ('record' or 'gap'), reason (of a gap), page_id, url, record_type,
     payload_digest, payload_bytes, refers_to, payload (of a response).
+
+    Paths may lie in any number of folders and may repeat; null paths are ignored; an archive of the same name in
+    another folder is not read.  Header values that are no numbers of up to 18 digits are null.  Empty files
+    and an empty table give no rows; other columns are ignored.
     """
+    paths = paths.where("path is not null")
     folders = [r.f for r in paths.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]
     spec = (
         "path string, offset long, length long, kind string, reason string, page_id long, url string, record_type string, "
@@ -282,13 +288,15 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
     if not folders:
         return spark.createDataFrame([], spec)
     files = spark.read.format("binaryFile").load(folders)
-    wanted = paths.select(F.regexp_extract("path", "[^/]*$", 0).alias("name")).distinct()
-    files = files.withColumn("name", F.regexp_extract("path", "[^/]*$", 0)).join(wanted, "name", "left_semi").select("path", "content")
+    # one archive may be named with or without scheme and authority
+    place = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "").alias("place")
+    wanted = paths.select(place).distinct()
+    files = files.withColumn("place", place).join(wanted, "place", "left_semi").select("path", "content")
     schema = pa.schema([
         ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
         ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()),
     ])
-    number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
+    number = lambda x: int(x) if re.fullmatch("-?[0-9]{1,18}", x or "") else None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(parts):

@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.train(docs, queries.training_labels(spark, SF))
-    rows = [r for r in docs.collect() if model.probability(np.array([model.top_run(model.words(toxicity.words_of((r.text or "").encode())))]))[0] < 0.5]
+    rows = [r for r in docs.collect() if model.probability([model.evidence(model.words(toxicity.words_of((r.text or "").encode())))])[0] < 0.5]
     texts = {i: t for i, _, _, t in lines_brute(rows)}
     sets = {i: shingles(t) for i, t in texts.items()}
     near = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]

@@ -144,6 +144,36 @@ def test_line_index_is_reversible(spark, odd_docs):
         assert filters[r.shard].contains(np.frombuffer(r.key, np.uint64).reshape(1, 2)).all()
 
 
+def test_common_lines_by_join_are_the_same(spark, odd_docs, monkeypatch):
+    """Beyond the bound of the broadcast."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.dedup_lines(odd_docs).collect())
+    assert got == lines_brute(odd_docs.collect())
+
+
+def test_lines_are_asked_of_the_filter(spark, odd_docs):
+    """A damaged filter loses drops: it is on the way of every line."""
+    rows = line_dedup.LineIndex.empty(spark, "bigint").insert(odd_docs).refs.where("n_docs >= 5").select("key", "keeper").toArrow()
+    keepers = line_dedup.Keepers.of(rows)
+    line = [rows["key"][0].as_py()]
+    assert keepers.lost(line_dedup.Cuckoo.load(keepers.filter), line, [-1]).tolist() == [True]
+    assert keepers.lost(line_dedup.Cuckoo.load(keepers.filter), line, [rows["keeper"][0].as_py()]).tolist() == [False]
+    assert keepers.lost(line_dedup.Cuckoo(10), line, [-1]).tolist() == [False]
+
+
+def test_many_inserts_outgrow_a_filter(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('line number ', id % 300, ' that is longer than forty characters\n', 'own line ', id, ' that is longer than forty characters') AS text")
+    index = line_dedup.LineIndex.empty(spark, "bigint", shards=2)
+    for low_, high in ((0, 10), (10, 120), (120, 400)):
+        index = index.insert(docs.where(f"doc_id >= {low_} and doc_id < {high}"))
+    whole = line_dedup.LineIndex.empty(spark, "bigint", shards=2).insert(docs)
+    counts = lambda x: Counter(tuple(r) for r in x.refs.collect())
+    assert counts(index) == counts(whole) and index.filters.count() == 2
+    filters = {r.shard: line_dedup.Cuckoo.load(r.filter) for r in index.filters.collect()}
+    assert all(filters[r.shard].contains(np.frombuffer(r.key, np.uint64).reshape(1, 2)).all() for r in index.refs.collect())
+    assert counts(index.delete(docs.where("doc_id >= 10"))) == counts(line_dedup.LineIndex.empty(spark, "bigint", shards=2).insert(docs.where("doc_id < 10")))
+
+
 def test_cuckoo_fills_and_forgets():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 2**63, (20_000, 2), np.uint64)

@@ -118,7 +118,7 @@ def test_shingle_sets_and_parts():
 def test_pipeline_keeps_what_all_pairs_keep(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.train(docs, queries.training_labels(spark, SF))
-    rows = [r for r in docs.collect() if model.probability(np.array([model.top_run(model.words(toxicity.words_of((r.text or "").encode())))]))[0] < 0.5]
+    rows = [r for r in docs.collect() if model.probability([model.evidence(model.words(toxicity.words_of((r.text or "").encode())))])[0] < 0.5]
     texts = {i: t for i, _, _, t in lines_brute(rows)}
     root, _ = brute(list(texts.items()))
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
