@@ -82,7 +82,7 @@ def runs(rows: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool, pa.R
 
 
 #: Keys of 8 bytes or two that go out as a broadcast; more meet their rows in a shuffle.
-BROADCAST_KEYS = 4_000_000
+BROADCAST_KEYS = 1_000_000
 
 
 def broadcast_if_small(keys: DataFrame) -> DataFrame:
