@@ -203,24 +203,24 @@ def tanimoto_pairs(s: SparkSession, d: str) -> DataFrame:
     return found.withColumn("tanimoto", F.round("tanimoto", 6))
 
 
-@query("SELECT query_id, target_id, round(tanimoto, 6) AS tanimoto FROM tani WHERE query_id < 20 AND tanimoto >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tanimoto DESC, target_id) <= 10")
+@query("SELECT query_id, target_id, round(tanimoto, 6) AS tanimoto FROM tani WHERE query_id % 20 = 0 AND tanimoto >= 0.4 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tanimoto DESC, target_id) <= 10")
 def tanimoto_topk(s: SparkSession, d: str) -> DataFrame:
-    found = similarity.tanimoto_join(*_sides(s, d, "vec_id < 20"), threshold=0.4)
+    found = similarity.tanimoto_join(*_sides(s, d, "vec_id % 20 = 0"), threshold=0.4)
     return similarity.top_k(found, "tanimoto", 10).withColumn("tanimoto", F.round("tanimoto", 6))
 
 
-@query("SELECT query_id, target_id, round(tanimoto, 6) AS tanimoto FROM tani WHERE query_id < 50 AND tanimoto >= 0.4 AND tanimoto <= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tanimoto DESC, target_id) <= 5")
+@query("SELECT query_id, target_id, round(tanimoto, 6) AS tanimoto FROM tani WHERE query_id % 20 = 0 AND tanimoto >= 0.4 AND tanimoto <= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tanimoto DESC, target_id) <= 5")
 def tanimoto_band(s: SparkSession, d: str) -> DataFrame:
-    found = similarity.tanimoto_join(*_sides(s, d, "vec_id < 50"), threshold=0.4, maximum=0.6)
+    found = similarity.tanimoto_join(*_sides(s, d, "vec_id % 20 = 0"), threshold=0.4, maximum=0.6)
     return similarity.top_k(found, "tanimoto", 5).withColumn("tanimoto", F.round("tanimoto", 6))
 
 
 @query(
-    "SELECT uniprot_id, target_id, query_id, round(tanimoto, 6) AS tanimoto FROM (SELECT q_label AS uniprot_id, query_id, target_id, tanimoto FROM tani WHERE query_id % 10 = 0 AND tanimoto >= 0.4 "
+    "SELECT uniprot_id, target_id, query_id, round(tanimoto, 6) AS tanimoto FROM (SELECT q_label AS uniprot_id, query_id, target_id, tanimoto FROM tani WHERE query_id % 20 = 0 AND tanimoto >= 0.4 "
     "QUALIFY row_number() OVER (PARTITION BY q_label ORDER BY tanimoto DESC, query_id, target_id) <= 20) QUALIFY row_number() OVER (PARTITION BY uniprot_id, target_id ORDER BY tanimoto DESC, query_id) = 1"
 )
 def tanimoto_global_topk(s: SparkSession, d: str) -> DataFrame:
-    seeds, targets = _sides(s, d, "vec_id % 10 = 0")
+    seeds, targets = _sides(s, d, "vec_id % 20 = 0")
     found = similarity.similarity_search(seeds.withColumnRenamed("label", "uniprot_id"), targets, 0.4, top=20)
     return found.withColumn("tanimoto", F.round("tanimoto", 6))
 
@@ -231,24 +231,24 @@ _COS = (
 )
 
 
-def _dense(s: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
+def _dense(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(s, d, "embeddings")
-    return e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vec"))
+    return e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("target_id"), F.col("embedding").alias("vec"))
 
 
-@query(f"SELECT query_id, target_id, round(c, 4) AS similarity FROM ({_COS} WHERE x.vec_id < 50) WHERE c >= 0.25")
+@query(f"SELECT query_id, target_id, round(c, 4) AS similarity FROM ({_COS} WHERE x.vec_id % 20 = 0) WHERE c >= 0.25")
 def cosine_threshold(s: SparkSession, d: str) -> DataFrame:
-    return similarity.cosine_join(*_dense(s, d, 50), threshold=0.25).withColumn("similarity", F.round("similarity", 4))
+    return similarity.cosine_join(*_dense(s, d), threshold=0.25).withColumn("similarity", F.round("similarity", 4))
 
 
-@query(f"SELECT query_id, target_id, round(c, 4) AS similarity FROM ({_COS} WHERE x.vec_id < 20) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, target_id) <= 5")
+@query(f"SELECT query_id, target_id, round(c, 4) AS similarity FROM ({_COS} WHERE x.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, target_id) <= 5")
 def cosine_topk(s: SparkSession, d: str) -> DataFrame:
-    return similarity.top_k(similarity.cosine_join(*_dense(s, d, 20)), "similarity", 5).withColumn("similarity", F.round("similarity", 4))
+    return similarity.top_k(similarity.cosine_join(*_dense(s, d)), "similarity", 5).withColumn("similarity", F.round("similarity", 4))
 
 
-@query("SELECT q_label AS label, round(max(tanimoto), 6) AS max_tanimoto FROM tani WHERE q_label = t_label AND query_id < target_id AND target_id < 200 GROUP BY q_label")
+@query("SELECT q_label AS label, round(max(tanimoto), 6) AS max_tanimoto FROM tani WHERE q_label = t_label AND query_id < target_id GROUP BY q_label")
 def max_pairwise(s: SparkSession, d: str) -> DataFrame:
-    rows = views.bits(s, d).where("vec_id < 200").withColumnRenamed("vec_id", "id")
+    rows = views.bits(s, d).withColumnRenamed("vec_id", "id")
     return similarity.max_pairwise(rows, "label").withColumn("max_tanimoto", F.round("max_tanimoto", 6))
 
 
@@ -295,7 +295,7 @@ def promoted_representatives(s: SparkSession, d: str) -> DataFrame:
 def learned_scores(s: SparkSession, d: str) -> DataFrame:
     b = views.bits(s, d)
     models = {str(k): scoring.Network.random(64, seed=k) for k in range(3)}
-    seeds = b.where("vec_id % 100 = 0").select(F.col("label").alias("uniprot_id"), (F.col("vec_id") / 100 % 4).cast("int").cast("string").alias("pfam_id"), F.col("vec_id").alias("query_id"), "words")
+    seeds = b.where("vec_id % 20 = 0").select(F.col("label").alias("uniprot_id"), (F.col("vec_id") / 20 % 4).cast("int").cast("string").alias("pfam_id"), F.col("vec_id").alias("query_id"), "words")
     return scoring.learned_scores(seeds, b.withColumnRenamed("vec_id", "target_id"), models, 64, threshold=0.5, per_seed=50, top=100)
 
 
@@ -418,10 +418,10 @@ def set_intersection(s: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
 def incremental_merge(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders")
-    return curation.incremental_merge(*(o.where(f"o_orderkey % {k} = 0").select("o_custkey", "o_orderstatus") for k in (3, 2)))
+    return curation.incremental_merge(*(o.where(f"o_orderkey % 3 {part} 0").select("o_custkey", "o_orderstatus") for part in ("=", "<>")))
 
 
 @query(
@@ -430,7 +430,7 @@ def incremental_merge(s: SparkSession, d: str) -> DataFrame:
 )
 def normalize_upload(s: SparkSession, d: str) -> DataFrame:
     part = table(s, d, "part").select(F.concat(F.lit(" "), "p_brand", F.lit("-"), (F.col("p_size") % 10).cast("string"), F.lit(" ")).alias("ID"), F.col("p_name").alias("SMILES"), F.col("p_partkey").alias("ord"))
-    at = readers.infer_column(part.columns, readers.ID_COLUMNS, "id"), readers.infer_column(part.columns, readers.STRUCTURE_COLUMNS, "structure")
+    at = readers.pick_column(part.columns, readers.ID_COLUMNS, "id"), readers.pick_column(part.columns, readers.STRUCTURE_COLUMNS, "structure")
     return curation.normalize_compounds(part, *at, "ord")
 
 
@@ -458,9 +458,9 @@ def display_source(s: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.when(F.col("p_size") % 2 == 0, "chembl").otherwise(shown).alias("shown"))
 
 
-@query("SELECT regexp_extract(line, '^>\\s*(\\S+)', 1) AS qseqid FROM (SELECT unnest(string_split('>' || replace(text, chr(10), chr(10) || '>'), chr(10))) AS line FROM documents WHERE doc_id % 2 = 0) WHERE regexp_matches(line, '^>\\s*\\S')")
+@query("SELECT regexp_extract(line, '^>\\s*(\\S+)', 1) AS qseqid FROM (SELECT unnest(string_split('>' || replace(text, chr(10), chr(10) || '>'), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^>\\s*\\S')")
 def fasta_headers(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").where("doc_id % 2 = 0")
+    docs = table(s, d, "documents")
     lines = docs.select(F.explode(F.split(F.concat(F.lit(">"), F.replace("text", F.lit("\n"), F.lit("\n>"))), "\n")).alias("value"))
     return readers.fasta_queries(lines)
 

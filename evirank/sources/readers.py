@@ -77,12 +77,13 @@ def read_compounds(spark: SparkSession, path: str, kind: str | None = None, deli
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 
-def infer_column(columns: list[str], candidates: tuple[str, ...], what: str) -> str:
-    by = {c.lower(): c for c in reversed(columns)}
-    for c in candidates:
-        if c.lower() in by:
-            return by[c.lower()]
-    raise ValueError(f"no {what} column in {columns}")
+def pick_column(columns: list[str], aliases: tuple[str, ...], what: str) -> str:
+    """The column whose name, in any case, stands earliest among ``aliases``; of several such the leftmost."""
+    rank = {alias.lower(): place for place, alias in enumerate(aliases)}
+    known = [(rank[c.lower()], at, c) for at, c in enumerate(columns) if c.lower() in rank]
+    if not known:
+        raise ValueError(f"no {what} column in {columns}")
+    return min(known)[2]
 
 
 def read_smi_folder(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,11 +43,11 @@ def test_compound_tables(spark, tmp_path):
     assert [(r.smiles, r.chem_comp_id) for r in readers.read_compounds(spark, smi).orderBy("ord").collect()] == [("CC(=O)O", "a"), ("C#N", "b")]
     tsv = put(tmp_path / "x.txt", "ID\tSMILES\n1\tC\n")
     df = readers.read_compounds(spark, tsv)
-    assert readers.infer_column(df.columns, readers.STRUCTURE_COLUMNS, "structure") == "SMILES" and readers.infer_column(df.columns, readers.ID_COLUMNS, "id") == "ID"
+    assert readers.pick_column(df.columns, readers.STRUCTURE_COLUMNS, "structure") == "SMILES" and readers.pick_column(df.columns, readers.ID_COLUMNS, "id") == "ID"
     with pytest.raises(ValueError):
         readers.read_compounds(spark, str(tmp_path / "x.doc"))
     with pytest.raises(ValueError):
-        readers.infer_column(["foo"], readers.ID_COLUMNS, "id")
+        readers.pick_column(["foo"], readers.ID_COLUMNS, "id")
     (tmp_path / "deep" / "er").mkdir(parents=True)
     put(tmp_path / "deep" / "er" / "y.smi", "O w\n")
     put(tmp_path / "deep" / "z.smi", "N v\n")
@@ -72,8 +72,18 @@ def test_scalars(spark):
     assert val(text.display_source(F.lit("chembl"), F.lit("CHEMBL12"))) == "chembl" and val(text.display_source(F.lit("chembl"), F.lit("ATP"))) == "pdb_chembl"
     assert val(text.latest_release(F.lit("chembl_9/ chembl_35/"))) == 35 and val(text.safe_name(F.lit("a b-c_d"))) == "a_b-c_d"
     assert val(text.nan_to_null(F.lit(float("nan")))) is None and val(text.prefixed(F.lit("12"), "ZINC")) == "ZINC12"
-    assert text.metric_of("my_chemberta") == "cosine" and text.metric_of("x", {"packed_bits": True}) == "tanimoto"
-    assert text.default_threshold("maccs") == 0.831169 and text.representation_name("ap", 512) == "atom_pair_512"
+    rows = [
+        ("my_chemberta", None, None, None, None, "cosine"), ("x", None, None, True, None, "tanimoto"), ("bert", "Tanimoto", None, False, "m", "tanimoto"), ("x", "other", None, False, None, "cosine"),
+        ("x", None, "morgan", False, "m", "tanimoto"), ("x", None, None, None, "m", "cosine"), (None, None, "", None, "", "tanimoto"), ("maccs", "COSINE", "maccs", True, None, "cosine"),
+    ]
+    table = spark.createDataFrame(rows, "name string, search_metric string, fingerprint_type string, packed_bits boolean, model_id string, want string")
+    assert table.where(text.search_metric(*(F.col(c) for c in table.columns[:5])) != F.col("want")).count() == 0
+    label = lambda given, kind, bits: val(text.representation_label(F.lit(given).cast("string"), F.lit(kind), F.lit(bits).cast("int")))
+    assert [label(None, "ap", 512), label("own", "ap", None), label(None, "maccs", None), label("", "embedding", None)] == ["atom_pair_512", "own", "maccs_167", "chemberta_zinc_base_768"]
+    for kind, bits in (("nope", 1), ("ap", None)):
+        with pytest.raises(Exception, match="no name for kind"):
+            label(None, kind, bits)
+    assert text.default_threshold("maccs") == 0.831169
     with pytest.raises(ValueError):
         text.default_threshold("nope")
     assert text.fingerprint({"a": 1, "b": 2}) == text.fingerprint({"b": 2, "a": 1})
