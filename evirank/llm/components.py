@@ -23,45 +23,47 @@ def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
     return rows.join(hubs, rows.u == F.col("k")).union(rest.join(least, rest.u == least.k))
 
 
+def _is_forest_of_stars(e: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then each v is the root of its component."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(src, dst) links, in either direction and possibly repeated, to (node, root): root is the smallest
     node reachable.  Only nodes that have a link appear; empty edges give an empty table.
 
-    Each round is one small-star and one large-star step (Kiveris et al., 2014): every node hooks its
+    Each round is one large-star and one small-star step (Kiveris et al., 2014): every node hooks its
     neighbours onto the smallest one, so path lengths fall geometrically and the edge count never grows.
-    The group of a hub is only ever reduced with min(), never gathered.  Rounds end at the fixed point;
-    each is written to the shared folder, so lineage stays short.
+    The group of a hub is only ever reduced with min(), never gathered.  Rounds end when the edges are
+    stars; each is written to the shared folder, so lineage stays short.  Edges that are stars already
+    cost no round.
     """
     e = materialize(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(),
         "edges",
     )
-    count = F.count("*").alias("n")
-    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
-    last = e.agg(count, digest).first()
-    for _ in range(max_rounds):
-        if not last.n:
-            break
+    rounds = 0
+    while not _is_forest_of_stars(e):
+        if rounds == max_rounds:
+            raise RuntimeError("components did not converge")
+        rounds += 1
+        n = e.count()
         # large star: each node's strictly larger neighbours, joined to its smallest neighbour or itself
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "rows")
-        large = _with_least(both, least, 2 * last.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each node's smaller neighbours and itself, joined to the smallest of them
         large = materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select(F.col("u").alias("k"), "m", "rows")
         small = (
-            _with_least(large, least, 2 * last.n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _with_least(large, least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
         e = materialize(small, "small-star")
-        now = e.agg(count, digest).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
