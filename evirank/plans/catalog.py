@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scratch import materialize
-from ..operators import candidates, compounds, curation, known, results, scoring, selection, similarity
+from ..operators import build, candidates, compounds, curation, known, predicted, results, scoring, selection, similarity
 from ..sources import readers, writers
 from ..streaming import limits
 from . import pages, views
@@ -165,20 +165,51 @@ def ligand_keep_repeated(s: SparkSession, d: str) -> DataFrame:
     return results.with_protein_rank(_pairs(cand, s, d), results.protein_ranking(cand))
 
 
+def _seeds(s: SparkSession, d: str) -> DataFrame:
+    return predicted.seeds_of(_known(s, d), views.bits(s, d).withColumnRenamed("vec_id", "chem_comp_id"))
+
+
+def _predicted(s: SparkSession, d: str, seeds: DataFrame) -> DataFrame:
+    targets = views.bits(s, d).withColumnRenamed("vec_id", "target_id")
+    return predicted.predicted_ligands(seeds, targets, views.library(s, d), 0.45, top=60, keep=25, prefix="Z")
+
+
+@query("SELECT uniprot_id, chem_comp_id, smiles, query_id, round(tanimoto, 6) AS tanimoto FROM predicted")
+def predicted_ligands(s: SparkSession, d: str) -> DataFrame:
+    return _predicted(s, d, _seeds(s, d)).withColumn("tanimoto", F.round("tanimoto", 6))
+
+
+@query()
+def predicted_by_representatives(s: SparkSession, d: str) -> DataFrame:
+    return _predicted(s, d, predicted.representative_seeds(_seeds(s, d), 0.5, 20))
+
+
+@query("SELECT uniprot_id, chem_comp_id AS query_id, max(pchembl) AS value FROM known JOIN embeddings ON vec_id = chem_comp_id GROUP BY ALL")
+def ligand_seeds(s: SparkSession, d: str) -> DataFrame:
+    return _seeds(s, d).select("uniprot_id", "query_id", "value")
+
+
+@query("SELECT qseqid, sseqid, search_type, chem_comp_id, smiles, query_id, round(tanimoto, 6) AS tanimoto FROM ppairs")
+def predicted_for_candidates(s: SparkSession, d: str) -> DataFrame:
+    return results.ligands_of(_candidates(s, d), _predicted(s, d, _seeds(s, d))).withColumn("tanimoto", F.round("tanimoto", 6))
+
+
+def _count(column: str, rows: str, method: str, into: str) -> str:
+    return f"coalesce((SELECT count(DISTINCT {column}) FROM {rows} r WHERE r.qseqid = s_suppkey AND search_type = '{method}'), 0) AS n_{into}_{method}"
+
+
 @query(
     "SELECT s_suppkey AS qseqid, "
-    + ", ".join(f"coalesce((SELECT count(DISTINCT sseqid) FROM contrib r WHERE r.qseqid = s_suppkey AND search_type = '{m}'), 0) AS n_proteins_{m}" for m in results.METHODS)
-    + ", "
-    + ", ".join(f"coalesce((SELECT count(DISTINCT chem_comp_id) FROM collapsed r WHERE r.qseqid = s_suppkey AND search_type = '{m}'), 0) AS n_known_ligands_{m}" for m in results.METHODS)
-    + ", "
-    + ", ".join(f"coalesce((SELECT count(DISTINCT chem_comp_id) FROM collapsed r WHERE r.qseqid = s_suppkey AND search_type = '{m}' AND pchembl >= 8), 0) AS n_predicted_ligands_{m}" for m in results.METHODS)
+    + ", ".join(_count(c, rows, m, into) for c, rows, into in (("sseqid", "named_by_ligands", "proteins"), ("chem_comp_id", "collapsed", "known_ligands"), ("chem_comp_id", "pcollapsed", "predicted_ligands")) for m in results.METHODS)
     + " FROM supplier"
 )
 def query_summary(s: SparkSession, d: str) -> DataFrame:
     cand = _kept(s, d)
     ranking = materialize(results.protein_ranking(cand), "ranking")
     ligands = materialize(results.collapse_ligands(_pairs(cand, s, d), ranking, tie=["source"]), "ligands")
-    return results.summary(views.queries_of(s, d), results.contributors(ranking, ligands), ligands, ligands.where("pchembl >= 8"))
+    found = results.ligands_of(cand, _predicted(s, d, _seeds(s, d)))
+    found = materialize(results.collapse_ligands(found, ranking, tie=["-tanimoto", "query_id", "smiles"]), "predicted")
+    return results.summary(views.queries_of(s, d), results.contributors(ranking, ligands, found), ligands, found)
 
 
 @query("SELECT * FROM doms")
@@ -364,6 +395,73 @@ def inactive_only(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("chem_comp_id", "uniprot_id", "pfam_id").agg(F.min("pchembl").alias("pchembl"), F.min("activity_comment").alias("activity_comment"))
 
 
+_MECH = "SELECT s_suppkey AS chem_comp_id, s_nationkey AS uniprot_id, p_brand AS pfam_id, s_name AS mechanism FROM supplier JOIN part ON p_partkey % 100 = s_suppkey"
+
+
+@query(
+    f"WITH a AS ({_ACT2}), mech AS ({_MECH}), pos AS (SELECT a.chem_comp_id, a.uniprot_id, a.pfam_id, pchembl, activity_comment, mechanism FROM a LEFT JOIN (SELECT DISTINCT chem_comp_id, uniprot_id, mechanism FROM mech) USING (chem_comp_id, uniprot_id) "
+    "WHERE pchembl >= 6 OR (pchembl IS NULL AND lower(activity_comment) = 'active')), "
+    "rel AS (SELECT chem_comp_id, uniprot_id, pfam_id, pchembl, mechanism, min(activity_comment) AS activity_comment FROM (SELECT * FROM pos UNION ALL BY NAME SELECT * FROM mech ANTI JOIN pos USING (chem_comp_id, uniprot_id)) GROUP BY ALL) "
+    "SELECT rel.*, 'chembl' AS source, CASE WHEN n = 1 THEN 'curated' ELSE 'possible' END AS kind FROM rel JOIN (SELECT chem_comp_id, uniprot_id, count(DISTINCT pfam_id) AS n FROM rel GROUP BY ALL) USING (chem_comp_id, uniprot_id)"
+)
+def activity_build(s: SparkSession, d: str) -> DataFrame:
+    supplier, part = table(s, d, "supplier"), table(s, d, "part").select("p_partkey", "p_brand")
+    mech = supplier.join(part, F.col("p_partkey") % 100 == F.col("s_suppkey")).select(
+        F.col("s_suppkey").alias("chem_comp_id"), F.col("s_nationkey").alias("uniprot_id"), F.col("p_brand").alias("pfam_id"), F.col("s_name").alias("mechanism")
+    )
+    return build.activity_relations(_activities(s, d), mech)
+
+
+@query(
+    "WITH r AS (SELECT user_id AS pdb_id, event_id % 40 AS chem_comp_id, value FROM events WHERE user_id % 5 <> 4) SELECT DISTINCT r.pdb_id, r.chem_comp_id, s_name AS pfam_id, CAST(n_regionkey AS VARCHAR) AS uniprot_id FROM r "
+    "JOIN supplier ON s_suppkey = r.pdb_id AND value BETWEEN s_nationkey AND s_nationkey + 60 JOIN part ON p_partkey = r.chem_comp_id LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON n_nationkey = r.pdb_id "
+    "WHERE p_partkey < 35 AND p_partkey >= 3"
+)
+def structure_build(s: SparkSession, d: str) -> DataFrame:
+    events, chain = table(s, d, "events"), F.lit("A").alias("chain_id")
+    residues = events.select(F.col("user_id").alias("pdb_id"), chain, F.col("value").alias("residue_number"), (F.col("event_id") % 40).alias("chem_comp_id"))
+    ranges = table(s, d, "supplier").select(F.col("s_suppkey").alias("pdb_id"), chain, F.col("s_nationkey").alias("range_start"), (F.col("s_nationkey") + 60).alias("range_end"), F.col("s_name").alias("pfam_id"))
+    accessions = table(s, d, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("pdb_id"), F.col("n_regionkey").cast("string").alias("uniprot_id"))
+    denied = table(s, d, "part").where("p_partkey < 3").select(F.col("p_partkey").alias("chem_comp_id"))
+    seen = events.where("user_id % 5 = 4").select(F.col("user_id").alias("pdb_id"))
+    return build.structure_relations(residues, ranges, accessions, denied, views.structures(s, d), seen)
+
+
+_ROWS = "SELECT vec_id AS chem_comp_id, vec_id % 20 AS uniprot_id, label AS pfam_id, CASE WHEN vec_id % 2 = 0 THEN 'pdb' ELSE 'chembl' END AS source FROM embeddings"
+_MOVED = f"SELECT * REPLACE (CASE WHEN chem_comp_id % 5 = 3 THEN chem_comp_id - 1 ELSE chem_comp_id END AS chem_comp_id) FROM ({_ROWS})"
+
+
+_POSSIBLE = f"({_MOVED.replace('FROM embeddings', 'FROM embeddings WHERE vec_id % 4 = 3')})"
+_SUPPORTED = f"(SELECT * FROM {_POSSIBLE} p WHERE EXISTS (SELECT 1 FROM tani t WHERE t.query_id = p.chem_comp_id AND t.target_id % 2 = 0 AND t.t_label = p.pfam_id AND t.tanimoto >= 0.5))"
+
+
+@query(
+    f"SELECT *, 'merged' AS kind FROM ({_ROWS} WHERE vec_id % 2 = 0) UNION ALL BY NAME SELECT *, 'merged' AS kind FROM ({_MOVED.replace('FROM embeddings', 'FROM embeddings WHERE vec_id % 4 = 1')}) "
+    f"UNION ALL BY NAME SELECT *, 'merged' AS kind FROM {_SUPPORTED} UNION ALL BY NAME SELECT *, 'possible' AS kind FROM {_POSSIBLE} ANTI JOIN {_SUPPORTED} USING (uniprot_id, chem_comp_id)"
+)
+def merge_build(s: SparkSession, d: str) -> DataFrame:
+    bits = views.bits(s, d)
+    rows = lambda where: bits.where(where).select(
+        F.col("vec_id").alias("chem_comp_id"), (F.col("vec_id") % 20).alias("uniprot_id"), F.col("label").alias("pfam_id"), F.when(F.col("vec_id") % 2 == 0, "pdb").otherwise("chembl").alias("source")
+    )
+    mapping = bits.where("vec_id % 5 = 3").select(F.col("vec_id").alias("chem_comp_id"), (F.col("vec_id") - 1).alias("canonical_id"))
+    vectors = bits.withColumnRenamed("vec_id", "chem_comp_id")
+    merged, remaining = build.merge_relations(rows("vec_id % 2 = 0"), rows("vec_id % 4 = 1"), rows("vec_id % 4 = 3"), mapping, vectors, 0.5)
+    return merged.withColumn("kind", F.lit("merged")).unionByName(remaining.withColumn("kind", F.lit("possible")))
+
+
+@query("SELECT pfam_id, array_to_string(list(chem_comp_id ORDER BY chem_comp_id), ',') AS ligands FROM (SELECT DISTINCT pfam_id, chem_comp_id FROM kb) GROUP BY pfam_id")
+def ligands_by_domain(s: SparkSession, d: str) -> DataFrame:
+    return build.ligands_by_domain(views.binding(s, d)).withColumn("ligands", F.array_join(F.col("ligands").cast("array<string>"), ","))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS accession, p_name AS sequence FROM part WHERE p_partkey % 5 <> 0 AND (p_partkey % 3 <> 0 OR p_partkey % 7 <> 0)")
+def sequence_sync(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("accession"), F.col("p_name").alias("sequence"))
+    wanted = rows.where("p_partkey % 5 <> 0").select(F.concat(F.lit(" "), "accession").alias("accession"))
+    return build.sync_sequences(rows.where("p_partkey % 3 <> 0"), wanted, rows.where("p_partkey % 7 <> 0"))
+
+
 @query(
     "SELECT uniprot_id, chem_comp_id, pfam_id, pdb_id, CASE WHEN n = 1 THEN 'curated' ELSE 'possible' END AS kind FROM kb JOIN (SELECT uniprot_id, chem_comp_id, count(DISTINCT pfam_id) AS n FROM kb GROUP BY ALL) USING (uniprot_id, chem_comp_id)"
 )
@@ -407,9 +505,10 @@ def deny_list(s: SparkSession, d: str) -> DataFrame:
     return curation.deny(part.select("p_partkey", "p_brand"), "p_brand", part.where("p_size = 1").select("p_brand"))
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 48")
 def set_difference(s: SparkSession, d: str) -> DataFrame:
-    return curation.unseen(table(s, d, "customer").select(F.col("c_custkey").alias("id")), table(s, d, "orders").select(F.col("o_custkey").alias("id")), "id").distinct()
+    large = table(s, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("id"))
+    return curation.unseen(table(s, d, "part").select(F.col("p_partkey").alias("id")), large, "id").distinct()
 
 
 @query("SELECT count(*) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)")
@@ -515,16 +614,19 @@ def best_per_compound(s: SparkSession, d: str) -> DataFrame:
     return pages.best_per_compound(_pairs(_candidates(s, d), s, d), "chem_comp_id", ["qseqid", "sseqid", "source"]).select("chem_comp_id", "qseqid", "sseqid", "search_type")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_type), 'brass')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_type), 'promo')")
 def text_filter(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part")
-    return p.where(text.contains_any("1", "p_name") | text.contains_any("BRASS", "p_type")).select("p_partkey", "p_name")
+    return p.where(text.contains_any("Widget", "p_name") | text.contains_any("PROMO", "p_type")).select("p_partkey", "p_name")
+
+
+_BANDS = "SELECT x.range AS id, x.range % 4 AS low, CASE WHEN x.range // 4 > 0 THEN 4 + x.range // 4 END AS high FROM range(16) x"
 
 
-@query("SELECT s_suppkey, s_acctbal >= 0 AS covered FROM supplier")
+@query(f"SELECT h.id AS have_id, w.id AS want_id, h.low <= w.low AND (h.high IS NULL OR coalesce(w.high <= h.high, false)) AS covered FROM ({_BANDS}) h, ({_BANDS}) w")
 def cache_coverage(s: SparkSession, d: str) -> DataFrame:
-    able = covers(Request({"metric": "tanimoto"}, 0.4, None), Request({"metric": "tanimoto"}, 0.5, 0.9))
-    return table(s, d, "supplier").select("s_suppkey", ((F.col("s_acctbal") >= 0) & F.lit(able)).alias("covered"))
+    bands = [Request({"metric": "tanimoto"}, i % 4 / 10, (4 + i // 4) / 10 if i // 4 else None) for i in range(16)]
+    return s.createDataFrame([(i, j, covers(have, want)) for i, have in enumerate(bands) for j, want in enumerate(bands)], "have_id long, want_id long, covered boolean")
 
 
 @query("SELECT s_suppkey AS uniprot_id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09)")

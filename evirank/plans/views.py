@@ -62,6 +62,12 @@ def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("vec_id", "label", words.alias("words")).withColumn("bitcount", bitcount(F.col("words")))
 
 
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compound data by index; several indexes have the same compound."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("lig_idx"), (F.col("vec_id") % 150).alias("chem_comp_id"), F.concat(F.lit("S"), F.col("label").cast("string")).alias("smiles"))
+
+
 _BY = "bitscore DESC NULLS LAST, evalue ASC NULLS LAST, pident DESC NULLS LAST, qcov DESC NULLS LAST, scov DESC NULLS LAST"
 _TIE = "l_orderkey, l_linenumber"
 
@@ -109,6 +115,17 @@ SQL = {
     "nbits": "SELECT vec_id, label, b, list_sum(b) AS n FROM bits",
     "tani": "SELECT x.vec_id AS query_id, y.vec_id AS target_id, x.label AS q_label, y.label AS t_label, list_inner_product(x.b::DOUBLE[], y.b::DOUBLE[]) AS s, x.n AS nx, y.n AS ny, "
     "CASE WHEN x.n + y.n - s > 0 THEN s / (x.n + y.n - s) ELSE 0 END AS tanimoto FROM nbits x, nbits y",
+    "library": "SELECT vec_id AS lig_idx, vec_id % 150 AS chem_comp_id, 'S' || label AS smiles FROM embeddings",
+    "seedhits": "SELECT k.uniprot_id, target_id, query_id, tanimoto FROM (SELECT DISTINCT uniprot_id, chem_comp_id FROM known) k JOIN tani ON query_id = k.chem_comp_id WHERE tanimoto >= 0.45 "
+    "QUALIFY row_number() OVER (PARTITION BY k.uniprot_id ORDER BY tanimoto DESC, query_id, target_id) <= 60",
+    "targethits": "SELECT * FROM seedhits QUALIFY row_number() OVER (PARTITION BY uniprot_id, target_id ORDER BY tanimoto DESC, query_id) = 1",
+    "named": "SELECT uniprot_id, 'Z' || chem_comp_id AS chem_comp_id, smiles, query_id, tanimoto FROM targethits JOIN library ON lig_idx = target_id "
+    "QUALIFY row_number() OVER (PARTITION BY uniprot_id, library.chem_comp_id, smiles ORDER BY tanimoto DESC, query_id, target_id) = 1",
+    "predicted": "SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY uniprot_id ORDER BY tanimoto DESC, query_id, chem_comp_id, smiles) <= 25",
+    "ppairs": "SELECT c.qseqid, c.sseqid, c.search_type, p.chem_comp_id, p.smiles, p.query_id, p.tanimoto FROM cand c JOIN predicted p ON p.uniprot_id = c.sseqid",
+    "pcollapsed": "SELECT p.*, protein_rank FROM ppairs p JOIN ranking r USING (qseqid, sseqid) QUALIFY row_number() OVER (PARTITION BY p.qseqid, p.chem_comp_id ORDER BY protein_rank, "
+    "CASE p.search_type WHEN 'sequence' THEN 0 WHEN 'nearest_k' THEN 1 ELSE 2 END, tanimoto DESC, query_id, smiles) = 1",
+    "named_by_ligands": "SELECT r.* FROM ranking r SEMI JOIN (SELECT qseqid, sseqid FROM collapsed UNION SELECT qseqid, sseqid FROM pcollapsed) USING (qseqid, sseqid)",
 }
 
 

@@ -29,3 +29,10 @@ def fasta_records(df: DataFrame, width: int = 60) -> DataFrame:
 
 def write_fasta(df: DataFrame, path: str, width: int = 60) -> None:
     fasta_records(df, width).write.mode("overwrite").text(path)
+
+
+def write_results(ranking: DataFrame, known: DataFrame, predicted: DataFrame, path: str) -> None:
+    """The three tables of every query, each with a folder per query; a query without known or predicted ligands has
+    no folder in those tables."""
+    for name, rows in (("protein_ranking", ranking), ("known_ligands", known), ("predicted_ligands", predicted)):
+        write_per_query(rows, f"{path}/{name}")
