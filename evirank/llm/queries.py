@@ -3,10 +3,11 @@ and derives the digest columns, and the DuckDB SQL of those that SQL can express
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, licenses, line_dedup, mixing, simhash, substring_dedup, toxicity, warc
+from . import decontaminate, exact_dedup, langid, licenses, line_dedup, mixing, simhash, substring_dedup, token_counts, toxicity, warc
 from .common import held_out, scratch_path, table
 
 
@@ -73,11 +74,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, [F.col("doc_id")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_warc, op4_substring_dedup, op5_language_id, op6_line_dedup, op7_exact_dedup, op8_license_scan, op9_simhash,
-        op10_decontamination,
+        op10_decontamination, op13_token_counts,
     )
 }
 
