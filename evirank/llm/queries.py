@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, licenses, line_dedup, mixing, simhash, substring_dedup, token_counts, toxicity, warc
+from . import decontaminate, exact_dedup, langid, licenses, line_dedup, mixing, simhash, spelling, substring_dedup, token_counts, toxicity, warc
 from .common import held_out, scratch_path, table
 
 
@@ -74,6 +74,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, drop_one_in=199)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, [F.col("doc_id")])
 
@@ -82,7 +86,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_warc, op4_substring_dedup, op5_language_id, op6_line_dedup, op7_exact_dedup, op8_license_scan, op9_simhash,
-        op10_decontamination, op13_token_counts,
+        op10_decontamination, op11_spelling_variants, op13_token_counts,
     )
 }
 
