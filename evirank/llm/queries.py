@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, licenses, line_dedup, mixing, simhash, spelling, substring_dedup, token_counts, toxicity, warc
+from . import decontaminate, exact_dedup, filter_audit, langid, licenses, line_dedup, mixing, simhash, spelling, substring_dedup, token_counts, toxicity, warc
 from .common import held_out, scratch_path, table
 
 
@@ -78,6 +78,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, drop_one_in=199)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, [F.col("doc_id")])
 
@@ -86,7 +90,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_warc, op4_substring_dedup, op5_language_id, op6_line_dedup, op7_exact_dedup, op8_license_scan, op9_simhash,
-        op10_decontamination, op11_spelling_variants, op13_token_counts,
+        op10_decontamination, op11_spelling_variants, op12_filter_audit, op13_token_counts,
     )
 }
 
@@ -117,6 +121,24 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op12_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * (coalesce(min(doc_id) OVER (PARTITION BY text) < w.doc_id, false))::INT AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+f AS (SELECT i, substr('ABCDE', i + 1, 1) AS c, CAST(pow(2, i) AS INT) AS bit FROM range(5) AS t(i)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INT) AS before FROM o, range(1, 6) AS t(k)),
+r AS (SELECT part, filter_order, step, bit, sum(CASE WHEN fails & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & before > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 AND good = 1 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN fails & before = 0 AND fails & bit > 0 AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r""",
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first FROM p)
