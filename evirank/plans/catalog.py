@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scratch import materialize
-from ..operators import build, candidates, compounds, curation, known, predicted, results, scoring, selection, similarity
+from ..operators import build, candidates, compounds, curation, known, learned, predicted, results, scoring, selection, similarity
 from ..sources import readers, writers
 from ..streaming import limits
 from . import pages, views
@@ -341,6 +341,58 @@ def best_model(s: SparkSession, d: str) -> DataFrame:
     return scoring.best_models(registry, owned)
 
 
+_DOMAINS = "SELECT DISTINCT vec_id % 7 AS uniprot_id, (vec_id % 7 + label % 2) % 5 AS pfam_id FROM embeddings"
+_REGISTRY = "SELECT label % 5 AS pfam_id, round(avg(n), 6) AS auc FROM nbits WHERE label % 5 <> 3 GROUP BY 1"
+_WEIGHTS = "SELECT m.pfam_id, list(m.a - o.a ORDER BY i) AS w FROM (SELECT label % 5 AS pfam_id, i, avg(b[i]) AS a FROM nbits, range(1, 65) AS t(i) GROUP BY ALL) m JOIN (SELECT i, avg(b[i]) AS a FROM nbits, range(1, 65) AS t(i) GROUP BY i) o USING (i) GROUP BY m.pfam_id"
+
+
+def domain_models(rows: DataFrame, dim: int, gain: float = 4.0) -> DataFrame:
+    """A network for each domain (see ``scoring.MODEL_TABLE``) whose first layer weighs a bit by how much more often the
+    domain's rows have it than all rows do, and its opposite; the second takes their difference times ``gain``.
+    rows: pfam_id, bits (array of 0 and 1)."""
+    placed = rows.select("pfam_id", F.posexplode("bits").alias("i", "bit"))
+    overall = placed.groupBy("i").agg(F.avg("bit").alias("of_all"))
+    more = placed.groupBy("pfam_id", "i").agg(F.avg("bit").alias("own")).join(overall, "i").select("pfam_id", F.struct("i", (F.col("own") - F.col("of_all")).alias("w")).alias("x"))
+    first = more.groupBy("pfam_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["w"]).alias("w"))
+    zeros = lambda n: F.array(*[F.lit(0.0)] * n)
+    layers = F.array(
+        F.struct(F.lit(0).alias("layer"), F.lit(dim).alias("n_in"), F.flatten(F.transform("w", lambda x: F.array(x, -x))).alias("weights"), zeros(2).alias("bias")),
+        F.struct(F.lit(1).alias("layer"), F.lit(2).alias("n_in"), F.array(F.lit(gain), F.lit(-gain)).alias("weights"), zeros(1).alias("bias")),
+    )
+    return first.select("pfam_id", F.explode(layers).alias("l")).select("pfam_id", "l.*")
+
+
+def _learned(s: SparkSession, d: str, limit: int | None) -> DataFrame:
+    e, b = table(s, d, "embeddings"), views.bits(s, d)
+    models = materialize(domain_models(e.select((F.col("label") % 5).alias("pfam_id"), F.transform("embedding", lambda x: (x > 0).cast("int")).alias("bits")), 64), "models")
+    owned = e.select((F.col("vec_id") % 7).alias("uniprot_id"), ((F.col("vec_id") % 7 + F.col("label") % 2) % 5).cast("int").alias("pfam_id"))
+    registry = b.groupBy((F.col("label") % 5).alias("pfam_id")).agg(F.round(F.avg("bitcount"), 6).alias("val_pr_auc")).withColumn("status", F.when(F.col("pfam_id") == 3, "skipped").otherwise("trained"))
+    known_ligands = e.where("vec_id % 20 = 0").select((F.col("vec_id") % 7).alias("uniprot_id"), F.col("vec_id").alias("chem_comp_id"), (F.col("vec_id") % 9).cast("double").alias("pchembl"))
+    targets = b.select(F.col("vec_id").alias("target_id"), "words")
+    found = learned.learned_search(owned, registry, models, known_ligands, b.withColumnRenamed("vec_id", "chem_comp_id"), targets, views.library(s, d), 64, 0.55, limit, per_seed=40, top=100, prefix="Z")
+    return found.withColumn("bsi_score", F.round("bsi_score", 6))
+
+
+@query(
+    f"WITH chosen AS (SELECT uniprot_id, d.pfam_id FROM ({_DOMAINS}) d JOIN ({_REGISTRY}) r USING (pfam_id) QUALIFY row_number() OVER (PARTITION BY uniprot_id ORDER BY auc DESC, pfam_id) = 1), "
+    f"dots AS (SELECT vec_id, pfam_id, list_inner_product(b::DOUBLE[], w) AS d FROM nbits, ({_WEIGHTS})), "
+    "scored AS (SELECT q.vec_id % 7 AS uniprot_id, pfam_id, q.vec_id AS query_id, t.vec_id AS target_id, round(1 / (1 + exp(-4 * (q.d + t.d))), 9) AS s FROM dots q JOIN chosen USING (pfam_id) JOIN dots t USING (pfam_id) "
+    "WHERE q.vec_id % 20 = 0 AND q.vec_id % 7 = chosen.uniprot_id), "
+    "lhits AS (SELECT * FROM scored WHERE s >= 0.55 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, target_id) <= 40), "
+    "ltargets AS (SELECT * FROM lhits QUALIFY row_number() OVER (PARTITION BY uniprot_id, target_id ORDER BY s DESC, query_id) = 1), "
+    "lonce AS (SELECT uniprot_id, pfam_id, 'Z' || chem_comp_id AS chem_comp_id, smiles, query_id, s FROM ltargets JOIN library ON lig_idx = target_id "
+    "QUALIFY row_number() OVER (PARTITION BY uniprot_id, chem_comp_id, smiles ORDER BY s DESC, query_id, target_id) = 1) "
+    "SELECT uniprot_id, pfam_id, chem_comp_id, smiles, query_id, round(s, 6) AS bsi_score FROM lonce QUALIFY row_number() OVER (PARTITION BY uniprot_id ORDER BY s DESC, query_id, chem_comp_id, smiles) <= 100"
+)
+def learned_search(s: SparkSession, d: str) -> DataFrame:
+    return _learned(s, d, None)
+
+
+@query()
+def learned_search_by_representatives(s: SparkSession, d: str) -> DataFrame:
+    return _learned(s, d, 3)
+
+
 # --- relational sources ---------------------------------------------------------------------------------------
 
 _ACT = (

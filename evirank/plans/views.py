@@ -142,4 +142,6 @@ def with_views(body: str) -> str:
                 needed.add(name)
                 todo.append(SQL[name])
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in SQL if n in needed)
-    return f"WITH {ctes} {body}" if ctes else body
+    if not ctes:
+        return body
+    return f"WITH {ctes}, {body.removeprefix('WITH ')}" if body.startswith("WITH ") else f"WITH {ctes} {body}"
