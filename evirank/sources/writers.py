@@ -1,10 +1,14 @@
-"""Writers: result tables per query, one summary file, sequences."""
+"""Writers: result tables per query, one summary file, sequences, versions of a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import Folder
+
 
 def write_per_query(df: DataFrame, path: str) -> None:
     """A folder of TSV files per query; queries without rows have none."""
@@ -36,3 +40,37 @@ def write_results(ranking: DataFrame, known: DataFrame, predicted: DataFrame, pa
     no folder in those tables."""
     for name, rows in (("protein_ranking", ranking), ("known_ligands", known), ("predicted_ligands", predicted)):
         write_per_query(rows, f"{path}/{name}")
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """Write a table as a new version below ``path`` and make it the current one; returns the version.
+
+    The rows are staged under a name of their own and renamed when they are whole; then the pointer CURRENT is replaced.
+    A write that fails leaves the version before it in place, and readers never see a part of a table."""
+    folder, version = Folder(df.sparkSession, path), f"v-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(folder.at(f".staging-{version}"))
+        folder.move(f".staging-{version}", version)
+    except Exception:
+        folder.delete(f".staging-{version}")
+        raise
+    folder.write("CURRENT", {"version": version})
+    return version
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table of ``publish``."""
+    now = Folder(spark, path).read("CURRENT")
+    if now is None:
+        raise ValueError(f"nothing is published below {path}")
+    return spark.read.parquet(f"{path}/{now['version']}")
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> list[str]:
+    """Remove all versions but the current one, and what failed writes left; returns their names."""
+    folder = Folder(spark, path)
+    now = (folder.read("CURRENT") or {}).get("version")
+    old = [n for n in folder.names() if n != now and (n.startswith("v-") or n.startswith(".staging-"))]
+    for name in old:
+        folder.delete(name)
+    return old
