@@ -28,6 +28,9 @@ class Folder:
     def exists(self, name: str = "") -> bool:
         return self.fs.exists(self._path(name))
 
+    def is_folder(self, name: str = "") -> bool:
+        return self.exists(name) and self.fs.getFileStatus(self._path(name)).isDirectory()
+
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(""))) if self.exists() else []
 

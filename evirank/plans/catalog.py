@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.scratch import materialize
+from ..functions.digest import row_sums
+from ..functions.files import Folder
+from ..functions.scratch import materialize, scratch_path
 from ..operators import build, candidates, compounds, curation, known, learned, predicted, results, scoring, selection, similarity
-from ..sources import readers, writers
+from ..sources import fetched, lookup, readers, writers
 from ..streaming import limits
-from . import pages, views
-from .cache import Request, covers
+from . import pages, providers, views
+from .cache import Cache, Request, best_entries, signature_of
 from .views import EVALUE_MAX, TIE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -672,13 +675,133 @@ def text_filter(s: SparkSession, d: str) -> DataFrame:
     return p.where(text.contains_any("Widget", "p_name") | text.contains_any("PROMO", "p_type")).select("p_partkey", "p_name")
 
 
-_BANDS = "SELECT x.range AS id, x.range % 4 AS low, CASE WHEN x.range // 4 > 0 THEN 4 + x.range // 4 END AS high FROM range(16) x"
+_REQUESTS = "SELECT o_orderpriority AS signature, o_custkey % 4 / 10.0::DOUBLE AS low, CASE WHEN o_custkey // 4 % 4 > 0 THEN (4 + o_custkey // 4 % 4) / 10.0::DOUBLE END AS high, o_custkey, o_orderstatus FROM orders"
 
 
-@query(f"SELECT h.id AS have_id, w.id AS want_id, h.low <= w.low AND (h.high IS NULL OR coalesce(w.high <= h.high, false)) AS covered FROM ({_BANDS}) h, ({_BANDS}) w")
+@query(
+    f"WITH req AS ({_REQUESTS}), have AS (SELECT signature, low, high, count(DISTINCT o_custkey) AS n FROM req WHERE o_orderstatus = 'F' GROUP BY ALL), "
+    "want AS (SELECT DISTINCT signature, low, high FROM req WHERE o_orderstatus <> 'F') "
+    "SELECT w.signature, w.low, w.high, h.low AS have_low, h.high AS have_high, h.n AS n_done FROM want w LEFT JOIN have h ON h.signature = w.signature AND h.low <= w.low AND (h.high IS NULL OR h.high >= w.high) "
+    "QUALIFY row_number() OVER (PARTITION BY w.signature, w.low, w.high ORDER BY h.n DESC NULLS LAST, h.low DESC NULLS LAST, h.high ASC NULLS LAST) = 1"
+)
 def cache_coverage(s: SparkSession, d: str) -> DataFrame:
-    bands = [Request({"metric": "tanimoto"}, i % 4 / 10, (4 + i // 4) / 10 if i // 4 else None) for i in range(16)]
-    return s.createDataFrame([(i, j, covers(have, want)) for i, have in enumerate(bands) for j, want in enumerate(bands)], "have_id long, want_id long, covered boolean")
+    """Requests of orders that are open, and which request of finished orders serves each."""
+    c = F.col("o_custkey")
+    low, high = (c % 4 / 10).alias("minimum"), F.when(F.floor(c / 4) % 4 > 0, (4 + F.floor(c / 4) % 4) / 10).alias("maximum")
+    asked = table(s, d, "orders").select(F.col("o_orderpriority").alias("signature"), low, high, "o_custkey", "o_orderstatus")
+    what = ["signature", "minimum", "maximum"]
+    entries = asked.where("o_orderstatus = 'F'").groupBy(*what).agg(F.countDistinct("o_custkey").alias("n_done")).withColumn("entry_id", F.struct(*what))
+    wants = asked.where("o_orderstatus <> 'F'").select(*what).distinct().withColumn("want_id", F.struct(*what))
+    e = entries.select("entry_id", "n_done")
+    found = best_entries(entries, wants).join(e, "entry_id", "left")
+    return found.select("want_id.signature", F.col("want_id.minimum").alias("low"), F.col("want_id.maximum").alias("high"), F.col("entry_id.minimum").alias("have_low"), F.col("entry_id.maximum").alias("have_high"), "n_done")
+
+
+_ASKED = "SELECT l_suppkey AS uniprot_id, l_partkey AS chem_comp_id, l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)"
+
+
+@query(_ASKED)
+def lookup_by_ids(s: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(s, "lookup")
+    rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("uniprot_id"), F.col("l_partkey").alias("chem_comp_id"), "l_orderkey", "l_linenumber")
+    lookup.write_lookup(rows, path, "uniprot_id", 64)
+    return lookup.lookup(s, path, table(s, d, "supplier").where("s_nationkey = 7").select("s_suppkey"), "uniprot_id")
+
+
+@query("SELECT o_custkey AS uniprot_id, o_orderkey AS target_id, o_totalprice AS score FROM orders WHERE o_totalprice >= 100000")
+def cache_batches(s: SparkSession, d: str) -> DataFrame:
+    """The orders of all customers from a cache that was filled in two batches, of which the second lacks the first's."""
+    orders, cache = table(s, d, "orders"), Cache(s, scratch_path(s, "cache"), "score")
+    rows = orders.select(F.col("o_custkey").alias("uniprot_id"), F.col("o_orderkey").alias("target_id"), F.col("o_totalprice").alias("score"))
+    compute = lambda needed: rows.where("score >= 50000").join(needed, "uniprot_id", "left_semi")
+    request = Request(signature_of({"orders": rows}, provider="orders"), 50_000.0)
+    cache.fetch(request, rows.join(orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("uniprot_id")), "uniprot_id", "left_semi"), compute)
+    return cache.fetch(replace(request, minimum=100_000.0), rows, compute)
+
+
+@query("SELECT o_orderpriority, count(*) AS n_rows, true AS same FROM orders GROUP BY o_orderpriority")
+def fingerprint_groups(s: SparkSession, d: str) -> DataFrame:
+    """Whether each group of a table has the same digest after it was dealt out anew and stored."""
+    rows = table(s, d, "orders")
+    stored = materialize(rows.repartition(7, "o_custkey").sortWithinPartitions(F.desc("o_orderkey")), "stored")
+    other = row_sums(stored, ["o_orderpriority"]).select("o_orderpriority", F.struct("n_rows", "sum_1", "sum_2").alias("other"))
+    both = row_sums(rows, ["o_orderpriority"]).join(other, "o_orderpriority", "left")
+    return both.select("o_orderpriority", "n_rows", F.coalesce(F.col("other") == F.struct("n_rows", "sum_1", "sum_2"), F.lit(False)).alias("same"))
+
+
+def _stream(s: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
+    """A given table as a stream of files: those that it has now."""
+    stream, file = s.readStream.schema(table(s, d, name).select(*columns).schema), f"{name}.parquet"
+    # a stream reads folders: the table's own, or the one that holds its file
+    return stream.parquet(f"{d}/{file}") if Folder(s, d).is_folder(file) else stream.option("pathGlobFilter", file).parquet(d)
+
+
+@query("SELECT o_custkey AS qseqid, count(*) AS n_hits, max(o_totalprice) AS best FROM orders GROUP BY o_custkey")
+def progressive_results(s: SparkSession, d: str) -> DataFrame:
+    """Every customer's orders, computed batch by batch as the customers arrive on a stream."""
+    path, orders = scratch_path(s, "progressive"), table(s, d, "orders")
+    compute = lambda asked: orders.join(asked.withColumnRenamed("qseqid", "o_custkey"), "o_custkey", "left_semi").groupBy(F.col("o_custkey").alias("qseqid")).agg(F.count("*").alias("n_hits"), F.max("o_totalprice").alias("best"))
+    asked = _stream(s, d, "orders", "o_custkey").withColumnRenamed("o_custkey", "qseqid")
+    limits.progressive(asked, compute, path, f"{path}/checkpoint").awaitTermination()
+    return limits.results_so_far(s, path)
+
+
+def _drained(rows: DataFrame) -> DataFrame:
+    """What a stream gives until it has read all there is."""
+    path = scratch_path(rows.sparkSession, "stream")
+    rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+@query()
+def rate_limit_stream(s: SparkSession, d: str) -> DataFrame:
+    return _drained(limits.rate_limited_stream(_stream(s, d, "events", "user_id", "ts", "event_id"), "user_id", "ts", "event_id", limit=2, window_s=86_400))
+
+
+@query("SELECT user_id, max(ts) AS ts, max(ts) + INTERVAL 7200 SECOND AS expired_at FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 7200 SECOND <= (SELECT max(ts) - INTERVAL 600 SECOND FROM events)")
+def retention_stream(s: SparkSession, d: str) -> DataFrame:
+    return _drained(limits.expired_stream(_stream(s, d, "events", "user_id", "ts"), "user_id", "ts", 7200, 600))
+
+
+@query("SELECT uniprot_id, chem_comp_id, smiles, query_id, round(tanimoto, 6) AS tanimoto FROM named WHERE tanimoto >= 0.5")
+def predicted_from_cache(s: SparkSession, d: str) -> DataFrame:
+    """A stricter request served from what a wider one left; the provider itself cannot compute in the second call."""
+    tables = {"known": _known(s, d), "vectors": views.bits(s, d).withColumnRenamed("vec_id", "chem_comp_id"), "targets": views.bits(s, d).withColumnRenamed("vec_id", "target_id"), "compounds": views.library(s, d)}
+    provider, cache = providers.SimilarityProvider(tables, {"prefix": "Z"}, 0.45, top=60), Cache(s, scratch_path(s, "cache"))
+    proteins = tables["known"].select("uniprot_id")
+    providers.precompute(cache, provider, proteins, 2)
+    return providers.cached(cache, provider.band(0.5), proteins, read_only=True).withColumn("tanimoto", F.round("tanimoto", 6))
+
+
+_FETCHED = (
+    "SELECT p_partkey, 'L' || p_partkey AS chem_comp_id, CASE WHEN p_size < 25 THEN p_name WHEN p_size < 40 AND p_size % 3 = 1 THEN p_type END AS smiles, "
+    "CASE WHEN p_size >= 40 THEN 'absent' WHEN p_size % 3 = 0 THEN 'broken' WHEN p_size % 3 = 1 THEN 'ok' ELSE 'empty' END AS status, p_size FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)"
+)
+
+
+def _fetched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ligands, the table of structures, and answers to some of the others: broken, empty and whole ones."""
+    part = table(s, d, "part").withColumn("chem_comp_id", F.concat(F.lit("L"), F.col("p_partkey").cast("string")))
+    ligands = table(s, d, "lineitem").select(F.concat(F.lit(" l"), F.col("l_partkey").cast("string")).alias("chem_comp_id"))
+    whole = F.to_json(F.struct(F.struct(F.lit(" ").alias("smiles"), F.when(F.col("p_size") % 3 == 1, F.col("p_type")).alias("smiles_stereo")).alias(fetched.DESCRIPTOR)))
+    body = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('{"smiles": '), "p_name")).otherwise(whole)
+    answers = part.where("p_size >= 25 and p_size < 40").select(F.lower("chem_comp_id").alias("chem_comp_id"), body.alias("body"))
+    return ligands, part.where("p_size < 25").select("chem_comp_id", F.col("p_name").alias("smiles")), fetched.parse_answers(answers)
+
+
+@query(f"SELECT chem_comp_id, smiles, 'pdb' AS source FROM ({_FETCHED}) WHERE smiles IS NOT NULL")
+def structure_table(s: SparkSession, d: str) -> DataFrame:
+    return fetched.structure_table(*_fetched(s, d))
+
+
+@query(f"SELECT chem_comp_id, status, CASE WHEN status IN ('broken', 'absent') THEN 2 ELSE 1 END AS attempts FROM ({_FETCHED}) WHERE p_size >= 25")
+def fetch_ledger(s: SparkSession, d: str) -> DataFrame:
+    """The ledger after two rounds: what was broken or absent is asked for again."""
+    ligands, structures, answers = _fetched(s, d)
+    ledger = fetched.empty_ledger(s)
+    for _ in range(2):
+        ledger = materialize(fetched.record(ledger, fetched.to_fetch(ligands, structures, ledger), answers), "ledger")
+    return ledger
 
 
 @query("SELECT s_suppkey AS uniprot_id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09)")
