@@ -5,7 +5,7 @@ prefix before it, that is, the merges leave the two as they are.  So the counts
 one pass over its places, and a text's counts are those of its pieces, added up.  Truncation and budget questions are
 answered from the counts; no text is encoded again.
 
-The tables of pieces are remembered by each task, 400,000 at most, and made again when they are needed again.
+A worker remembers the tables of at most ``REMEMBERED`` pieces and makes others again when they are needed again.
 """
 
 from __future__ import annotations
@@ -25,16 +25,19 @@ from tokenizers import Tokenizer
 
 from .common import batches, quoted
 
-# The split of the byte-level vocabulary, for any text and for text that is all ASCII.
+# The split of the byte-level vocabulary; for text up to U+00FF its classes are spelt out, which is faster.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+LATIN_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Contractions that stay two pieces until their last letter is there.
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
-SPACES = regex.compile(r"\s{2,}")
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
+BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: Letters beyond these may be of another class in the library's Unicode version than in the regex module's.
 BEYOND = re.compile("[^\x00-՗]")
-REMEMBERED = 400_000
+#: Tables of pieces of at most SHORT code points that a worker remembers, and code points of text that it takes at once.
+REMEMBERED, SHORT, AT_ONCE = 500_000, 60, 1 << 21
 
 
 def byte_letters() -> dict[str, int]:
@@ -77,35 +80,56 @@ class Prefixes:
         return ids
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the merges leave token b behind token a as they are."""
-        key = a << 32 | b
-        found = self.goes.get(key)
-        if found is None:
-            if len(self.goes) >= 4 * REMEMBERED:
-                self.goes.clear()
-            found = self.goes[key] = self.encode(self.bytes[a] + self.bytes[b]) == [a, b]
+        """Whether the merges leave token b behind token a as they are; remembered."""
+        if len(self.goes) >= 4 * REMEMBERED:
+            self.goes.clear()
+        found = self.goes[a << 32 | b] = self.encode(self.bytes[a] + self.bytes[b]) == [a, b]
         return found
 
-    def piece(self, text: str) -> np.ndarray:
-        """The counts at each code point of a piece that the split leaves whole."""
-        raw = text.encode("utf-8", "surrogatepass")
-        n, ids = len(raw), self.ids
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                token = ids.get(raw[i:j])
-                if token is not None and (i == 0 or self.compatible(last[i], token)):
-                    last[j], count[j] = token, count[i] + 1
+    def learn(self, pieces: set[str]) -> dict[str, np.ndarray]:
+        """Make the tables of the pieces that are not known: the counts at each code point of a piece that the split leaves
+        whole.  Sorted pieces share the places of their common prefix.  Returns the tables of long pieces, which are not
+        remembered."""
+        wide, goes, ids, longest = {}, self.goes, self.ids, self.longest
+        new = pieces - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = pieces
+        before, last, count = b"", [0], [0]
+        for text in sorted(new):
+            raw = text.encode("utf-8", "surrogatepass")
+            n, k = len(raw), 0
+            for x, y in zip(before, raw, strict=False):
+                if x != y:
                     break
-        if text in CONTRACTIONS:  # its first two letters are pieces of their own
-            count[2] = count[1] + 1
-        if n == len(text):
-            return np.array(count[1:], np.int32)
-        return np.array([c for c, b in zip(count[1:], [*raw[1:], 0], strict=True) if b & 0xC0 != 0x80], np.int32)
+                k += 1
+            del last[k + 1 :], count[k + 1 :]
+            for j in range(k + 1, n + 1):
+                for i in range(j - longest if j > longest else 0, j):
+                    token = ids.get(raw[i:j])
+                    if token is not None:
+                        if not i:
+                            break
+                        fits = goes.get(last[i] << 32 | token)
+                        if self.compatible(last[i], token) if fits is None else fits:
+                            break
+                last.append(token)
+                count.append(count[i] + 1)
+            before = raw
+            counts = count[1:]
+            if text in CONTRACTIONS:  # its first two letters are pieces of their own
+                counts[1] = counts[0] + 1
+            if n != len(text):
+                counts = [c for c, b in zip(counts, [*raw[1:], 0], strict=True) if b & 0xC0 != 0x80]
+            if len(text) <= SHORT:
+                self.known[text] = bytes(counts)
+            else:
+                wide[text] = np.array(counts, np.int32)
+        return wide
 
     def pieces(self, text: str) -> list[str]:
-        if text.isascii():
-            return ASCII_SPLIT.findall(text)
+        if text.isascii() or not BEYOND_LATIN.search(text):
+            return LATIN_SPLIT.findall(text)
         if BEYOND.search(text):
             new = set(text) - self.alike
             if new & self.unlike or self._unlike(new - self.unlike):
@@ -120,54 +144,68 @@ class Prefixes:
             (self.alike if same else self.unlike).add(c)
         return letters & self.unlike
 
-    def ordinary(self, text: str) -> np.ndarray:
-        """Counts at each code point of a text without special strings."""
+    def ordinary(self, text: str, pieces: list[str], wide: dict[str, np.ndarray]) -> np.ndarray:
+        """Counts at each code point of a text without special strings, from the tables of its pieces."""
         if not text:
             return np.zeros(0, np.int32)
-        pieces, known, wide = self.pieces(text), self.known, {}
-        tables = []
-        for p in pieces:
-            t = known.get(p)
-            if t is None:
-                counts = wide.get(p)
-                counts = self.piece(p) if counts is None else counts
-                if len(p) <= 60:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    t = known[p] = counts.astype(np.uint8).tobytes()
-                else:
-                    wide[p], t = counts, b""
-            tables.append(t)
-        if wide:
-            local = np.concatenate([wide[p] if p in wide else np.frombuffer(t, np.uint8) for p, t in zip(pieces, tables, strict=True)]).astype(np.int32)
-        else:
-            local = np.frombuffer(b"".join(tables), np.uint8).astype(np.int32)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ends = np.cumsum(lengths)
-        totals = np.cumsum(local[ends - 1], dtype=np.int64)
-        counts = (local + np.repeat(totals - local[ends - 1], lengths)).astype(np.int32)
+        if lengths.max() > SHORT:
+            local = np.concatenate([wide[p] if p in wide else np.frombuffer(self.known[p], np.uint8) for p in pieces]).astype(np.int32)
+        else:
+            local = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint8).astype(np.int32)
+        own = local[np.cumsum(lengths) - 1]
+        counts = (local + np.repeat(np.cumsum(own, dtype=np.int64) - own, lengths)).astype(np.int32)
         for m in SPACES.finditer(text):  # white space at the end of a prefix is one piece, its last letter too
             a, b = m.span()
             if b < len(text):
-                counts[b - 1] = (counts[a - 1] if a else 0) + self.total(m[0])
+                run = self.known.get(m[0])
+                total = run[-1] if run else (wide[m[0]] if m[0] in wide else self._run(m[0]))[-1]
+                counts[b - 1] = (counts[a - 1] if a else 0) + int(total)
         return counts
 
-    def total(self, piece: str) -> int:
-        t = self.known.get(piece)
-        return int(t[-1] if t else self.piece(piece)[-1])
+    def _run(self, piece: str) -> np.ndarray:
+        """The table of a run of white space that is no piece of its text, without what is remembered."""
+        other = self.learn({piece})
+        return other[piece] if piece in other else np.frombuffer(self.known[piece], np.uint8)
 
-    def counts(self, text: str) -> np.ndarray:
-        """Entry i: the tokens of the text's first i + 1 code points, as the library counts them by default: a special
-        string is one token once it is whole, ordinary text before."""
+    def segments(self, text: str) -> list[str]:
+        """The text cut at special strings; all segments but the last end one letter short of the special string's end,
+        for that far it is ordinary text to a prefix."""
         if self.split_special is None or not self.split_special.search(text):
-            return self.ordinary(text)
-        out, base, at = [], 0, 0
+            return [text]
+        out, at = [], 0
         for m in self.split_special.finditer(text):
-            c = base + self.ordinary(text[at : m.end() - 1])
-            before = c[m.start() - at - 1] if m.start() > at else base
-            out += [c, [before + 1]]
-            base, at = int(before) + 1, m.end()
-        return np.concatenate([*out, base + self.ordinary(text[at:])]).astype(np.int32)
+            out.append(text[at : m.end() - 1])
+            at = m.end()
+        return [*out, text[at:]]
+
+    def counts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text an array whose entry i is the number of tokens of its first i + 1 code points, as the library
+        counts them by default: a special string is one token once it is whole, ordinary text before."""
+        cut = [[(s, self.pieces(s)) for s in self.segments(t)] for t in texts]
+        wide = self.learn({p for text in cut for _, pieces in text for p in pieces})
+        for text, segments in zip(texts, cut, strict=True):
+            parts = [self.ordinary(s, pieces, wide) for s, pieces in segments]
+            if len(parts) == 1:
+                yield parts[0]
+                continue
+            out, base, at = [], 0, 0
+            for part, m in zip(parts, self.split_special.finditer(text), strict=False):
+                before = base + (int(part[m.start() - at - 1]) if m.start() > at else 0)
+                out += [base + part, [before + 1]]
+                base, at = before + 1, m.end()
+            yield np.concatenate([*out, base + parts[-1]]).astype(np.int32)
+
+    def each(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+        """Texts and their counts, some MB of text at once."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from zip(some, self.counts(some), strict=True)
+                some, size = [], 0
+        yield from zip(some, self.counts(some), strict=True)
 
 
 @lru_cache(maxsize=2)
@@ -218,8 +256,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, budget: int, keep: list[Column
         model = prefixes_of(spec.value)
         for b in batches(rows):
             n_bytes, n_tokens, n_fit = [], [], []
-            for text in b.column(1).to_pylist():
-                counts = model.counts(text)
+            for text, counts in model.each(b.column(1).to_pylist()):
                 n_bytes.append(len(text) if text.isascii() else len(text.encode()))
                 n_tokens.append(int(counts[-1]) if len(counts) else 0)
                 n_fit.append(fit(counts, budget))
@@ -256,7 +293,7 @@ def prefix_tables(docs: DataFrame, tokenizer: str, keep: list[Column] | None = N
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = prefixes_of(spec.value)
         for b in batches(rows):
-            tables = [packed(model.counts(text)) for text in b.column(1).to_pylist()]
+            tables = [packed(counts) for _, counts in model.each(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tables, pa.binary())], ["row", "prefix_table"])
 
     rows = _texts(docs, keep)

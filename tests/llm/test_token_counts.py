@@ -24,7 +24,9 @@ def true_count(text: str) -> int:
 
 def check_all(text: str) -> None:
     want = [n for n in (len(e.ids) for e in LIBRARY.encode_batch([text[:i] for i in range(1, len(text) + 1)], add_special_tokens=False))]
-    assert MODEL.counts(text).tolist() == want, text
+    assert next(MODEL.counts([text])).tolist() == want, text
+    pair = list(MODEL.counts(["x" + text, text]))
+    assert pair[1].tolist() == want and len(pair[0]) == len(text) + 1
 
 
 @pytest.mark.parametrize("text", [
@@ -48,6 +50,17 @@ def test_every_prefix_of_any_text(text):
     check_all(text)
 
 
+def test_forgotten_pieces_are_made_again(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    monkeypatch.setattr(token_counts, "SHORT", 4)
+    monkeypatch.setattr(token_counts, "AT_ONCE", 10)
+    with open(PATH, encoding="utf-8") as f:
+        small = token_counts.Prefixes(f.read())
+    texts = ["some words, and   more  words\n\n\n", "", "x" * 300, " " * 90 + "é" * 90 + " " * 90 + "z", "and again some words"] * 3
+    for text, counts in small.each(texts):
+        assert counts.tolist() == [true_count(text[:i]) for i in range(1, len(text) + 1)]
+
+
 def test_fit_is_the_longest_prefix():
     rng = np.random.default_rng(1)
     for _ in range(100):
