@@ -1,19 +1,23 @@
 """Similarity search over packed bit vectors (Tanimoto) and dense vectors (cosine).
 
 A packed vector is an array of longs (column words) with its number of ones (column bitcount).  The seed
-side is a stated query set; it is broadcast only if its row count is at most ``BROADCAST_ROWS``.
+side of a packed search is broadcast only if its row count is at most ``BROADCAST_ROWS``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.scratch import materialize
 from .ranking import keep_first, order, top_n
 
 #: A seed row is some hundred bytes, so a broadcast side stays below some tens of MB.
@@ -85,34 +89,97 @@ def tanimoto_join(seeds: DataFrame, targets: DataFrame, threshold: float, maximu
     return scored.where((F.col("tanimoto") >= threshold) & (F.lit(True) if maximum is None else F.col("tanimoto") <= maximum))
 
 
-def cosine_join(seeds: DataFrame, targets: DataFrame, threshold: float = -1.0, maximum: float | None = None, block: int = 256) -> DataFrame:
-    """query_id, target_id, similarity: pairs of each seed with all targets that reach the threshold.
+def _units(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    The seeds, a stated query set, are held against all targets in blocks: Arrow batches of targets times a
-    matrix of at most ``block`` seeds at once.  seeds: query_id, vec.  targets: target_id, vec.
-    """
-    rows = seeds.select("query_id", "vec").limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} seeds: search them in several calls")
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    ids = [r.query_id for r in rows]
-    held = targets.sparkSession.sparkContext.broadcast(unit(np.array([r.vec for r in rows], np.float64)) if rows else None)
-    kind = to_arrow_type(seeds.schema["query_id"].dataType)
-    q_type, t_type = seeds.schema["query_id"].dataType.simpleString(), targets.schema["target_id"].dataType.simpleString()
-
-    def run(parts):
+
+def _cells(rows: DataFrame, id_column: str, pivots: np.ndarray, block: int) -> DataFrame:
+    """id, unit (the vector at length 1), cell (its nearest pivot), angle (to it) and sub: a cell's rows are dealt into
+    blocks of about ``block``."""
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            if held.value is None or not b.num_rows:
-                continue
-            x = unit(np.array(b.column(1).to_pylist(), np.float64))
-            for at in range(0, len(ids), block):
-                # a sum over rows in a fixed order: the same for any batch
-                score = np.einsum("qd,td->qt", held.value[at : at + block], x)
-                ok = score >= threshold if maximum is None else (score >= threshold) & (score <= maximum)
-                q, t = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in q], kind), b.column(0).take(pa.array(t)), pa.array(score[ok])], ["query_id", "target_id", "similarity"])
+            if b.num_rows:
+                x = _units(np.array(b.column(1).to_pylist(), np.float64))
+                near = np.einsum("td,pd->tp", x, sent.value)
+                cell = near.argmax(1)
+                angle = np.arccos(np.clip(near[np.arange(len(x)), cell], -1, 1))
+                units = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), units, pa.array(cell.astype(np.int32)), pa.array(angle)], ["id", "unit", "cell", "angle"])
+
+    kind = rows.schema[id_column].dataType
+    out = T.StructType([T.StructField("id", kind), T.StructField("unit", T.ArrayType(T.DoubleType()))]).add("cell", "integer").add("angle", "double")
+    placed = materialize(rows.where(F.col(id_column).isNotNull() & F.col("vec").isNotNull()).select(id_column, "vec").mapInArrow(run, out), "cells")
+    subs = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
+    return placed.join(F.broadcast(subs), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int")).drop("__n")
+
+
+def block_pairs(seeds: DataFrame, targets: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
+    """s_cell, s_sub, t_cell, t_sub: the pairs of blocks that may hold a pair at the threshold.
+
+    By the triangle inequality two vectors are at least angle(pivots) - radius - radius apart, so blocks for which that is
+    more than the threshold's angle are left out.  Radii are of a block on the seeds' side and of a cell on the targets'."""
+    most = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6  # an angle is exact to about 1e-8 near 0
+    apart = np.arccos(np.clip(np.einsum("sd,td->st", pivots, pivots), -1, 1)).ravel().tolist()
+    n = len(pivots)
+    s = seeds.groupBy(F.col("cell").alias("s_cell"), F.col("sub").alias("s_sub")).agg(F.max("angle").alias("s_radius"))
+    t = targets.groupBy(F.col("cell").alias("t_cell"), F.col("sub").alias("t_sub")).agg(F.max("angle").alias("t_radius"))
+    cells = t.groupBy(F.col("t_cell").alias("__cell")).agg(F.max("t_radius").alias("__radius"))
+    angles = F.array(*[F.lit(x) for x in apart])
+    may = s.withColumn("__cell", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(cells, "__cell")  # at most MOST_CELLS a block
+    may = may.where(angles[F.col("s_cell") * n + F.col("__cell")] - F.col("s_radius") - F.col("__radius") <= most)
+    return may.join(t, F.col("__cell") == F.col("t_cell")).select("s_cell", "s_sub", "t_cell", "t_sub")
+
+
+#: Cells of the targets at most, and so pivots that go to the executors.
+MOST_CELLS = 64
+
+
+def cosine_join(
+    seeds: DataFrame, targets: DataFrame, threshold: float = -1.0, maximum: float | None = None, per_query: int | None = None, seed_block: int = 1024, target_block: int = 65_536, cells: int | None = None
+) -> DataFrame:
+    """query_id, target_id, similarity: pairs of each seed with all targets that reach the threshold; with ``per_query``
+    the best of each seed (ties: the smallest target_id).  Any number of seeds.
 
-    return targets.select("target_id", "vec").mapInArrow(run, f"query_id {q_type}, target_id {t_type}, similarity double")
+    The targets are dealt into cells around some of them (pivots, chosen by a hash), cells into blocks; so are the seeds.
+    Pairs of blocks that cannot reach the threshold are left out (``block_pairs``); a task multiplies one block of seeds by
+    one of targets and keeps each seed's best.  Small tables are one cell.  seeds: query_id, vec.  targets: target_id, vec.
+    Rows without an id or a vector are left out.
+    """
+    if cells is None:
+        cells = min(MOST_CELLS, max(1, 4 * (targets.count() // target_block)))
+    first = targets.where("vec is not null").orderBy(F.xxhash64("target_id"), "target_id").limit(cells).select("vec").collect()
+    kinds = [T.StructField("query_id", seeds.schema["query_id"].dataType), T.StructField("target_id", targets.schema["target_id"].dataType)]
+    out = T.StructType([*kinds]).add("similarity", "double")
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds] + [("similarity", pa.float64())])
+    if not first:
+        return targets.sparkSession.createDataFrame([], out)
+    pivots = _units(np.array([r.vec for r in first], np.float64))
+    s, t = _cells(seeds, "query_id", pivots, seed_block), _cells(targets, "target_id", pivots, target_block)
+    pairs = materialize(block_pairs(s, t, pivots, threshold), "pairs")
+    key = ["s_cell", "s_sub", "t_cell", "t_sub"]
+    left = s.withColumnsRenamed({"cell": "s_cell", "sub": "s_sub"}).join(pairs, key[:2]).select(*key, "id", "unit")
+    right = t.withColumnsRenamed({"cell": "t_cell", "sub": "t_sub"}).join(pairs, key[2:]).select(*key, "id", "unit")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        right = right.take(pc.sort_indices(right.column("id")))  # a row's place is its rank by id
+        q, x = (np.array(side.column("unit").to_pylist(), np.float64) for side in (left, right))
+        found = []
+        for at in range(0, len(q), 16):
+            scores = np.einsum("qd,td->qt", q[at : at + 16], x)  # sums in a fixed order: the same in any block
+            for i, row in enumerate(scores):
+                ok = np.flatnonzero(row >= threshold if maximum is None else (row >= threshold) & (row <= maximum))
+                if per_query is not None and len(ok) > per_query:
+                    ok = ok[np.lexsort((ok, -row[ok]))[:per_query]]
+                found.append((np.full(len(ok), at + i), ok, row[ok]))
+        mine, theirs, value = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table([left.column("id").take(pa.array(mine)), right.column("id").take(pa.array(theirs)), pa.array(value)], schema=arrow)
+
+    hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(score, out)
+    return top_k(hits, "similarity", per_query)
 
 
 def top_k(hits: DataFrame, score: str, k: int | None, per: list[str] = ("query_id",)) -> DataFrame:
@@ -120,6 +187,19 @@ def top_k(hits: DataFrame, score: str, k: int | None, per: list[str] = ("query_i
     return top_n(hits, list(per), order(f"-{score}", "query_id", "target_id"), k)
 
 
+def search(seeds: DataFrame, targets: DataFrame, metric: str, threshold: float, maximum: float | None = None, per_query: int | None = None, top: int | None = None) -> DataFrame:
+    """query_id, target_id, score of either metric, with the same limits: the band, then the best ``per_query`` of each
+    seed, then the best ``top`` of all.  Packed sides have words and bitcount, dense ones vec; other metrics and sides that
+    do not suit raise ValueError."""
+    packed_side = lambda df: "words" in df.columns
+    check_metric(metric, {"packed": packed_side(seeds)}, {"packed": packed_side(targets)})
+    if metric == "tanimoto":
+        hits = top_k(tanimoto_join(seeds, targets, threshold, maximum).withColumnRenamed("tanimoto", "score"), "score", per_query)
+    else:
+        hits = cosine_join(seeds, targets, threshold, maximum, per_query).withColumnRenamed("similarity", "score")
+    return hits if top is None else hits.orderBy(*order("-score", "query_id", "target_id")).limit(top)
+
+
 def similarity_search(
     proteins: DataFrame, targets: DataFrame, threshold: float, maximum: float | None = None, per_query: int | None = None, top: int | None = 10_000
 ) -> DataFrame:

@@ -277,7 +277,7 @@ def cosine_threshold(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT query_id, target_id, round(c, 4) AS similarity FROM ({_COS} WHERE x.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, target_id) <= 5")
 def cosine_topk(s: SparkSession, d: str) -> DataFrame:
-    return similarity.top_k(similarity.cosine_join(*_dense(s, d)), "similarity", 5).withColumn("similarity", F.round("similarity", 4))
+    return similarity.search(*_dense(s, d), "cosine", -1.0, per_query=5).select("query_id", "target_id", F.round("score", 4).alias("similarity"))
 
 
 @query("SELECT q_label AS label, round(max(tanimoto), 6) AS max_tanimoto FROM tani WHERE q_label = t_label AND query_id < target_id GROUP BY q_label")
