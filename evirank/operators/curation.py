@@ -44,14 +44,25 @@ def remap(relations: DataFrame, mapping: DataFrame) -> DataFrame:
     return relations.join(m, F.col("chem_comp_id") == F.col("__from"), "left").withColumn("chem_comp_id", F.coalesce("__to", "chem_comp_id")).drop("__from", "__to")
 
 
-def assign_ranges(residues: DataFrame, ranges: DataFrame, keys: list[str], position: str, start: str, end: str) -> DataFrame:
+def assign_ranges(residues: DataFrame, ranges: DataFrame, keys: list[str], position: str, start: str, end: str, width: int | None = None) -> DataFrame:
     """Every residue with each range on its keys that holds its position (both ends inclusive); without one it
-    stays, the range's columns null.  Null keys match each other.  The equal keys make it a hash join."""
-    right = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in ranges.columns if c not in keys])
-    on = F.col(position).between(F.col(start), F.col(end))
+    stays, the range's columns null.  Null keys match each other; null positions and bounds match nothing.
+
+    Positions are cut into bins of ``width`` (the mean length of a range, if none is given), ranges stand in each bin that
+    they touch, and rows meet on keys and bin: an equi-join whose groups stay small on a key with many rows and ranges.
+    A pair meets in the bin of the position only, and ranges take at most twice their number of rows on average.
+    """
+    whole = ranges.where(F.col(start) <= F.col(end))
+    if width is None:
+        mean = whole.agg(F.avg(F.col(end) - F.col(start) + 1)).first()[0]
+        width = max(1, round(float(mean or 1)))
+    bin_of = lambda c: F.floor(c / width).cast("long")
+    others = [c for c in ranges.columns if c not in keys]
+    right = whole.select(*[F.col(k).alias(f"__{k}") for k in keys], *others, F.explode(F.sequence(bin_of(F.col(start)), bin_of(F.col(end)))).alias("__range_bin"))
+    on = (F.col("__bin") == F.col("__range_bin")) & F.col(position).between(F.col(start), F.col(end))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return residues.join(right, on, "left").drop(*[f"__{k}" for k in keys])
+    return residues.withColumn("__bin", bin_of(F.col(position))).join(right, on, "left").drop(*[f"__{k}" for k in keys], "__bin", "__range_bin")
 
 
 def deny(relations: DataFrame, column: str, listed: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,13 @@ ID_COLUMNS = ("chem_comp_id", "compound", "compound_id", "id")
 STRUCTURE_COLUMNS = ("smiles", "canonical_smiles")
 
 
+def file_order() -> Column:
+    """The place of a row in its files: path, start of the block, then the order inside the block.  To be selected where
+    files are read; however they are split, rows sort as they stand in them.  (The running number alone follows Spark's
+    packing of blocks into tasks; inside one block it only grows.)"""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def fasta_queries(lines: DataFrame) -> DataFrame:
     """qseqid of each header line of a table of lines (column value), repeats kept, headers without a word left out."""
     return lines.where(F.startswith("value", F.lit(">"))).select(first_token(F.col("value")).alias("qseqid")).where("qseqid is not null")
@@ -34,8 +41,8 @@ def fasta_details(lines: DataFrame) -> DataFrame:
 
 def read_fasta_sequences(spark: SparkSession, path: str) -> DataFrame:
     """accession, sequence, one row per accession (of several the last in the file): the part between bars of
-    sp|ACC|.. and tr|ACC|.. headers, else the first word."""
-    records = spark.read.option("lineSep", ">").text(path).withColumn("ord", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    sp|ACC|.. and tr|ACC|.. headers, else the first word.  A '>' begins a record only at the start of a line."""
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value"), file_order().alias("ord")).where(F.trim("value") != "")
     head, body = F.element_at(F.split("value", "\n", 2), 1), F.element_at(F.split("value", "\n", 2), 2)
     bars = F.regexp_extract(head, r"^(?:sp|tr)\|([^|]*)\|", 1)
     rows = records.select(F.when(bars != "", bars).otherwise(first_token(head)).alias("accession"), F.regexp_replace(F.coalesce(body, F.lit("")), r"\s", "").alias("sequence"), "ord")
@@ -63,18 +70,18 @@ def format_of(path: str) -> str:
 
 
 def read_compounds(spark: SparkSession, path: str, kind: str | None = None, delimiter: str | None = None) -> DataFrame:
-    """A table of compounds; .smi lines are 'structure id ..'.  Column ord has the row order."""
+    """A table of compounds; .smi lines are 'structure id ..'.  Column ord has the order of the rows in the files."""
     kind = kind or format_of(path)
     if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind == "smi":
-        parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") >= 2)
-        df = parts.select(F.col("p")[0].alias("smiles"), F.col("p")[1].alias("chem_comp_id"))
+        parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p"), file_order().alias("ord")).where(F.size("p") >= 2)
+        return parts.select(F.col("p")[0].alias("smiles"), F.col("p")[1].alias("chem_comp_id"), "ord")
     elif kind in ("csv", "tsv"):
         df = spark.read.csv(path, header=True, sep=delimiter or ("," if kind == "csv" else "\t"))
     else:
         raise ValueError(f"unknown format {kind!r}")
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    return df.select("*", file_order().alias("ord"))
 
 
 def pick_column(columns: list[str], aliases: tuple[str, ...], what: str) -> str:
@@ -87,9 +94,9 @@ def pick_column(columns: list[str], aliases: tuple[str, ...], what: str) -> str:
 
 
 def read_smi_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """smiles, chem_comp_id, path, ord of all .smi files below a folder; (path, ord) is the order of the files."""
+    """smiles, chem_comp_id, path, ord of all .smi files below a folder; ord is the order of the files and their lines."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.smi").text(folder)
-    parts = lines.select(F.split(F.trim("value"), r"\s+").alias("p"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"))
+    parts = lines.select(F.split(F.trim("value"), r"\s+").alias("p"), F.col("_metadata.file_path").alias("path"), file_order().alias("ord"))
     return parts.where(F.size("p") >= 2).select(F.col("p")[0].alias("smiles"), F.col("p")[1].alias("chem_comp_id"), "path", "ord")
 
 
@@ -107,7 +114,7 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     """chem_comp_id (upper case), smiles from a headerless table of structure and id; the first row of an id.
     '#' is a bond in structures, so only lines that begin with it are comments."""
     df = spark.read.csv(path, sep="\t", comment="#", schema=T.StructType().add("smiles", "string").add("chem_comp_id", "string"))
-    rows = df.withColumn("ord", F.monotonically_increasing_id()).withColumn("chem_comp_id", F.upper(F.trim("chem_comp_id"))).where("chem_comp_id <> '' and smiles is not null")
+    rows = df.select("*", file_order().alias("ord")).withColumn("chem_comp_id", F.upper(F.trim("chem_comp_id"))).where("chem_comp_id <> '' and smiles is not null")
     return rows.groupBy("chem_comp_id").agg(F.min_by("smiles", "ord").alias("smiles"))
 
 
