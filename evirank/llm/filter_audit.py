@@ -67,8 +67,10 @@ def text_flags(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def with_copies(flags: DataFrame) -> DataFrame:
     """The rows with E: the same text stands under a smaller doc_id, anywhere in the table.  A row without a doc_id is
-    neither above nor below another.  Texts are told apart by their SHA-256; only those that occur twice are joined."""
+    neither above nor below another.  Texts are told apart by their SHA-256; only those that occur twice are joined, from a
+    written table, so that Spark can split the rows of a text with very many copies."""
     firsts = flags.groupBy("digest").agg(F.min("doc_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").select(F.col("digest").alias("__digest"), "__first")
+    firsts = materialize(firsts, "copies")
     joined = flags.join(firsts, F.col("digest") == F.col("__digest"), "left")
     return joined.withColumn("E", F.coalesce(F.col("doc_id") > F.col("__first"), F.lit(False))).drop("__digest", "__first", "digest")
 
