@@ -73,32 +73,65 @@ class Gap:
     reason: str
 
 
-def _parse(data: bytes | memoryview, at: int, whole: bool = False) -> tuple[Record, int] | str:
-    """The record that starts at ``at`` and where it ends, or which check fails."""
-    if bytes(data[at : at + 5]) != b"WARC/":
+VERSION_LINE = re.compile(rb"WARC/[0-9]{1,3}\.[0-9]{1,3}\r\n")
+#: Bytes of a record's headers, digits of its length, and bytes of a name in a gzip header, at most.
+MOST_HEADERS, MOST_DIGITS, MOST_NAME = 1 << 20, 18, 4096
+
+
+class _Marks:
+    """Finds marks at or after places that only grow, so that each byte is searched once a mark."""
+
+    def __init__(self, data: bytes):
+        self.data, self.next = data, {GZIP_MAGIC: -1, b"WARC/": -1}
+
+    def after(self, at: int) -> int:
+        """The next place from ``at`` on that may start a member or record, or the end."""
+        for mark, known in self.next.items():
+            if known < at:
+                found = self.data.find(mark, at)
+                self.next[mark] = len(self.data) if found < 0 else found
+        return min(self.next.values())
+
+
+def _headers(data: bytes, at: int) -> tuple[dict[str, str], int] | str:
+    """The headers of the record at ``at`` and where its block starts.  A version line is no header, so the headers of a
+    broken record are read as far as the next version line at most."""
+    first = VERSION_LINE.match(data, at)
+    if not first:
         return "no version line"
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0:
-        return "headers do not end"
-    lines = bytes(data[at:head_end]).split(b"\r\n")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
+    headers, pos = {}, first.end()
+    while True:
+        end = data.find(b"\r\n", pos, at + MOST_HEADERS)
+        if end < 0:
+            return "headers do not end"
+        if end == pos:
+            return headers, pos + 2
+        name, colon, value = data[pos:end].partition(b":")
         if not colon or not name.strip():
             return "malformed header"
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        pos = end + 2
+
+
+def _parse(data: bytes, at: int, whole: bool = False) -> tuple[Record, int] | str:
+    """The record that starts at ``at`` and where it ends, or which check fails."""
+    head = _headers(data, at)
+    if isinstance(head, str):
+        return head
+    headers, start = head
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         return "no content length"
-    start = head_end + 4
+    if len(size) > MOST_DIGITS:
+        return "content length out of range"
     end = start + int(size)
     if end + 4 > len(data):
         return "truncated block"
-    if bytes(data[end : end + 4]) != b"\r\n\r\n":
+    if data[end : end + 4] != b"\r\n\r\n":
         return "block does not end where its length says"
     if whole and end + 4 != len(data):
         return "member goes on after its record"
-    block = bytes(data[start:end])
+    block = data[start:end]
     for name, part in (("warc-block-digest", block), ("warc-payload-digest", None)):
         want = headers.get(name, "")
         if part is None:
@@ -110,15 +143,33 @@ def _parse(data: bytes | memoryview, at: int, whole: bool = False) -> tuple[Reco
     return Record(at, end + 4 - at, headers, block), end + 4
 
 
+def _gzip_header(data: bytes, at: int) -> bool:
+    """Whether a gzip header of sane size stands at ``at``: reserved flags unset, name and comment of ``MOST_NAME`` bytes at
+    most.  Without this, unpacking would look for the end of a name in the rest of the file."""
+    if len(data) < at + 10 or data[at + 3] & 0xE0:
+        return False
+    flags, pos = data[at + 3], at + 10
+    if flags & 4:
+        pos += 2 + int.from_bytes(data[pos : pos + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            pos = data.find(b"\0", pos, pos + MOST_NAME) + 1
+            if not pos:
+                return False
+    return pos < len(data)
+
+
 def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The gzip member at ``at``, its checksum and length verified, and where it ends."""
-    unpack = zlib.decompressobj(wbits=31)
-    out = []
+    """The gzip member at ``at``, its checksum and length verified, and where it ends.  Most places that only look like
+    one fail in their first bytes, so it is read in growing steps."""
+    if not _gzip_header(data, at):
+        return "gzip: no header"
+    unpack, view = zlib.decompressobj(wbits=31), memoryview(data)
+    out, pos, step = [], at, 256
     try:
-        pos = at
         while not unpack.eof and pos < len(data):
-            out.append(unpack.decompress(data[pos : pos + (1 << 20)]))
-            pos += 1 << 20
+            out.append(unpack.decompress(view[pos : pos + step]))
+            pos, step = pos + step, min(4 * step, 1 << 20)
     except zlib.error as e:
         return f"gzip: {str(e).rpartition(': ')[2]}"
     if not unpack.eof:
@@ -130,14 +181,15 @@ def salvage(data: bytes) -> tuple[list[Record], list[Gap]]:
     """All valid records of a plain or gzipped archive, and the gaps between them.
 
     Where a check fails (version line, headers, length, end marks, gzip checksum, block or payload
-    digest), the reader searches byte by byte for the next place that starts a valid member or record and
+    digest), the reader searches for the next place that starts a valid member or record and
     goes on there; what lies between is one quarantined gap.  Offsets are those of the file.  A member
     whose bytes are sound but hold broken records is searched inside: its valid records are kept with the
-    member's offset.  Empty data: no records, no gaps.
+    member's offset.  Empty data: no records, no gaps.  The time is in proportion to the bytes, but for blocks of
+    broken records that lie inside each other, which are hashed each.
     """
     records: list[Record] = []
     gaps: list[Gap] = []
-    at, bad, why = 0, None, ""
+    marks, at, bad, why = _Marks(data), 0, None, ""
 
     def resume(to: int) -> None:
         nonlocal bad
@@ -176,8 +228,7 @@ def salvage(data: bytes) -> tuple[list[Record], list[Gap]]:
             continue
         if bad is None:
             bad, why = at, got
-        nexts = [x for x in (data.find(GZIP_MAGIC, at + 1), data.find(b"WARC/", at + 1)) if x >= 0]
-        at = min(nexts, default=len(data))
+        at = marks.after(at + 1)
     resume(len(data))
     return records, gaps
 

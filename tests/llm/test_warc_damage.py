@@ -1,0 +1,58 @@
+"""The salvage reader on hostile bytes: no crash, no quadratic time, valid records kept."""
+
+from __future__ import annotations
+
+import os
+import time
+
+import pytest
+
+from evirank.llm import queries, warc
+from pyspark.sql import functions as F
+
+GOOD = warc.record("response", 1, "http://a/", b"one page")
+
+
+def timed(data: bytes):
+    start = time.process_time()
+    found = warc.salvage(data)
+    return found, time.process_time() - start
+
+
+@pytest.mark.parametrize("digits", [19, 5000, 100_000])
+def test_a_length_of_many_digits_is_a_gap(digits):
+    at = GOOD.rindex(b"Content-Length: ", 0, GOOD.index(b"\r\n\r\n")) + 16
+    bad = GOOD[:at] + b"9" * digits + GOOD[at:]
+    records, gaps = warc.salvage(GOOD + bad + GOOD)
+    assert [r.offset for r in records] == [0, len(GOOD) + len(bad)]
+    assert [(g.offset, g.length, g.reason) for g in gaps] == [(len(GOOD), len(bad), "content length out of range")]
+
+
+@pytest.mark.parametrize("junk", [
+    b"WARC/", b"WARC/1.0\r\n", b"WARC/1.1\r\nA: b\r\n", b"\x1f\x8b\x08", b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03", b"WARC/1.0\r\nContent-Length: 5\r\n\r\n", b"\r\n\r\n", b"WARC/1.0\r\nContent-Length: 99999999\r\n\r\n",
+])
+def test_junk_takes_time_in_proportion(junk):
+    small, large = junk * (200_000 // len(junk)), junk * (4_000_000 // len(junk))
+    _, one = timed(GOOD + small + GOOD)
+    (records, gaps), many = timed(GOOD + large + GOOD)
+    assert [r.offset for r in records] == [0, len(GOOD) + len(large)] and sum(g.length for g in gaps) == len(large)
+    assert many < 20 and many < 60 * max(one, 0.05)
+
+
+def test_sixteen_megabytes_of_random_bytes_and_broken_records():
+    broken = bytearray(GOOD)
+    broken[-8] ^= 1  # in the payload: the digests differ
+    data = bytes(broken) * 4000 + os.urandom(1 << 24) + GOOD
+    (records, gaps), seconds = timed(data)
+    assert records[-1].offset == len(data) - len(GOOD) and seconds < 20
+    assert sum(g.length for g in gaps) + sum(r.length for r in records) == len(data)
+
+
+def test_op3_on_clashing_names_and_no_pages(spark, monkeypatch):
+    rows = [(1, "u", "x"), (2, None, "x"), (3, "v", None), (None, "w", "y")]
+    pages = spark.createDataFrame([(*r, "mine", 5) for r in rows], "page_id long, url string, html string, path string, first int")
+    monkeypatch.setattr(queries, "table", lambda *a: pages.withColumn("sha", F.lit("s")))
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in queries.op3_warc(spark, "").collect()}
+    assert got == {1: (1, "response", None), 2: (1, "revisit", 1), 3: (0, "response", None), None: (1, "response", None)}
+    monkeypatch.setattr(queries, "table", lambda *a: pages.limit(0))
+    assert queries.op3_warc(spark, "").count() == 0
