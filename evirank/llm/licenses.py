@@ -34,6 +34,8 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Lines of a block at most, those without a word not counted.
+RUN = 12
 #: The same class and its complement with every character listed, which Java looks up in a table.
 _LISTED = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum())
 NOT_WORD = f"[{_LISTED}]++"
@@ -111,15 +113,37 @@ def template_sets(templates: list[tuple[str, str]], threshold: float) -> list[tu
     return [(i, label, words, max(1, math.ceil(threshold * len(words) - 1e-9))) for i, label, words in sets if words]
 
 
-def blocks_of(low: str, sets: list[tuple[int, str, list[str], int]]) -> Column:
-    """array<struct<block, words>>: the lines of a lower-cased text as sets of the words that templates have;
-    lines with fewer of them than any template needs are left out (the length filter)."""
+def span_of(templates: list[tuple[str, str]]) -> int:
+    """Words that lines may have together to be one block: as many as the longest template, repeats counted."""
+    return max((len(re.findall(WORD, text.lower())) for _, text in templates), default=0)
+
+
+def with_blocks(rows: DataFrame, low: str, sets: list[tuple[int, str, list[str], int]], span: int) -> DataFrame:
+    """The rows with blocks, array<struct<block, words>>: the blocks of a lower-cased text as sets of the words that
+    templates have; blocks with fewer of them than any template needs are left out (the length filter).
+
+    A block is a line, with the lines behind it as long as it has at most ``span`` words and ``RUN`` lines, lines without
+    a word not counted: so notices are found that are wrapped.  Every such run of lines is a part of the block that starts
+    at its first line, and a set that holds another's words contains as much of any template, so the runs need not be
+    looked at one by one."""
     vocabulary = sorted({w for _, _, words, _ in sets for w in words})
     least = min((need for *_, need in sets), default=1)
     known = F.array(*map(F.lit, vocabulary)).cast("array<string>")
     lines = F.split(F.regexp_replace(F.col(low), NOT_WORD_IN_LINE, " "), "\n", -1)
-    sized = F.transform(lines, lambda line, i: F.struct(i.alias("block"), F.array_intersect(F.split(line, " ", -1), known).alias("words")))
-    return F.filter(sized, lambda b: F.size(b["words"]) >= least)
+    words = F.transform(lines, lambda line, i: F.struct(i.alias("block"), F.array_remove(F.split(line, " ", -1), "").alias("w")))
+    sized = F.transform(F.filter(words, lambda x: F.size(x["w"]) > 0), lambda x: F.struct(x["block"].alias("block"), F.size(x["w"]).alias("n"), F.array_intersect(x["w"], known).alias("words")))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"))
+
+    def add(run: Column, line: Column) -> Column:
+        """A run that is full counts more words than fit, so nothing is added behind."""
+        total = run["n"] + line["n"]
+        more = F.when((total <= span) | (run["n"] == 0), F.concat(run["words"], line["words"])).otherwise(run["words"])
+        return F.struct(F.when((total <= span) | (run["n"] == 0), total).otherwise(F.lit(span + 1)).alias("n"), more.alias("words"))
+
+    run = lambda i: F.aggregate(F.slice("__lines", i + 1, F.lit(RUN)), start, add, lambda x: F.array_distinct(x["words"]))
+    blocks = F.transform("__lines", lambda x, i: F.struct(x["block"].alias("block"), run(i).alias("words")))
+    # a column of its own: the lines are laid out once, not for each block
+    return rows.withColumn("__lines", sized).withColumn("blocks", F.filter(blocks, lambda b: F.size(b["words"]) >= least)).drop("__lines")
 
 
 def _joined(rows: DataFrame, sets: list[tuple[int, str, list[str], int]]) -> DataFrame:
@@ -155,8 +179,8 @@ def _joined(rows: DataFrame, sets: list[tuple[int, str, list[str], int]]) -> Dat
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, block (line number from 0), template, label, containment: every text block that
-    holds at least ``threshold`` of a template's distinct words.
+    """doc_id, text_hash, block (number of its first line, from 0), template, label, containment: every text block
+    (see ``with_blocks``) that holds at least ``threshold`` of a template's distinct words.
 
     All template words are ranked by how many blocks of the corpus hold them, rarest first, among the blocks
     long enough to match at all.  A block and a template that share enough words share one in the prefix of
@@ -168,14 +192,15 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     """
     sets = template_sets(templates, threshold)
     low = docs.select("doc_id", lowered(F.coalesce("text", F.lit(""))).alias("low"))
-    return _joined(materialize(low.select("doc_id", F.xxhash64("low").alias("text_hash"), blocks_of("low", sets).alias("blocks")), "blocks"), sets)
+    rows = with_blocks(low.withColumn("text_hash", F.xxhash64("low")), "low", sets, span_of(templates)).select("doc_id", "text_hash", "blocks")
+    return _joined(materialize(rows, "blocks"), sets)
 
 
-def scan_once(docs: DataFrame, phrases: dict[str, str], sets: list[tuple[int, str, list[str], int]]) -> DataFrame:
+def scan_once(docs: DataFrame, phrases: dict[str, str], sets: list[tuple[int, str, list[str], int]], span: int) -> DataFrame:
     """The phrase columns of every text and its blocks, in one pass over the texts."""
     low = docs.select("doc_id", lowered(F.coalesce("text", F.lit(""))).alias("low"))
-    return phrase_scan("low", phrases)(low).select(
-        "doc_id", F.xxhash64("low").alias("text_hash"), "n_words", "n_base", "first_word", "last_word", "base_labels", blocks_of("low", sets).alias("blocks")
+    return with_blocks(phrase_scan("low", phrases)(low), "low", sets, span).select(
+        "doc_id", F.xxhash64("low").alias("text_hash"), "n_words", "n_base", "first_word", "last_word", "base_labels", "blocks"
     )
 
 
@@ -191,7 +216,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     the lines that can match, is written beside the phrase columns.  No text is shuffled.
     """
     sets = template_sets(templates, threshold)
-    rows = materialize(scan_once(docs, phrases, sets), "license-scan")
+    rows = materialize(scan_once(docs, phrases, sets, span_of(templates)), "license-scan")
     found = _joined(rows.where(F.size("blocks") > 0), sets).groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best")
     )
@@ -204,7 +229,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> str:
-    """DuckDB SQL for the op8 digest: every line against every template, without filters."""
+    """DuckDB SQL for the op8 digest: every line and every run of lines against every template, without filters."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(label)}, [{', '.join(map(quoted, tokens(text)))}], {max(1, math.ceil(threshold * len(tokens(text)) - 1e-9))})" for label, text in templates)
@@ -218,7 +243,10 @@ WITH w AS (SELECT doc_id, {low} AS low, regexp_extract_all({low}, '[^\\x00-\\x2F
 hits AS ({hits}),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS ls FROM hits GROUP BY doc_id),
 t(label, ts, need) AS (VALUES {values}),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS bs FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM w)),
+split AS (SELECT doc_id, i, regexp_extract_all(string_split(low, chr(10))[i], '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS bs FROM w, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS t(i)),
+filled AS (SELECT doc_id, bs, len(bs) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, sum(len(bs)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM split WHERE len(bs) > 0),
+lines AS (SELECT a.doc_id, list_distinct(flatten(list(b.bs))) AS bs FROM filled a JOIN filled b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {RUN - 1} AND (b.i = a.i OR b.total - a.total + a.k <= {span_of(templates)})
+  GROUP BY a.doc_id, a.i),
 more AS (SELECT doc_id, list(DISTINCT label) AS ls, max(len(list_intersect(bs, ts)) / len(ts)) AS best
   FROM lines JOIN t ON len(bs) >= need AND len(list_intersect(bs, ts)) >= need GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,

@@ -289,7 +289,7 @@ def test_licenses(spark, no_docs):
     assert any("apache-2.0" in r.labels for r in got) and any("mit-license" in r.labels for r in got)
     assert licenses.license_scan(no_docs).count() == 0
     sets = licenses.template_sets(licenses.TEMPLATES, 0.8)
-    for part in (licenses.license_scan(docs), licenses.scan_once(docs, licenses.PHRASES, sets), licenses.template_matches(docs)):
+    for part in (licenses.license_scan(docs), licenses.scan_once(docs, licenses.PHRASES, sets, licenses.span_of(licenses.TEMPLATES)), licenses.template_matches(docs)):
         plan = part._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
     assert licenses.template_matches(no_docs).count() == 0
