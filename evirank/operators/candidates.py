@@ -71,10 +71,10 @@ def query_domains(domain_hits: DataFrame, evalue_max: float | None = None) -> Da
 
 
 def nearest_k(pool: DataFrame, domains: DataFrame, domain_hits: DataFrame, k: int | None = 5) -> DataFrame:
-    """Of each query's pool, proteins that share a domain with it; the strongest k."""
-    shared = (
-        domains.select(F.col("uniprot_id").alias("sseqid"), "pfam_id").join(query_domains(domain_hits), "pfam_id").select(*PAIR)
-    )
+    """Of each query's pool, proteins that share a domain with it; the strongest k.  The pool's pairs are looked up, so a
+    domain of many proteins and queries makes no more rows than the pool has."""
+    proteins = domains.select(F.col("uniprot_id").alias("sseqid"), "pfam_id")
+    shared = pool.select(*PAIR).join(proteins, "sseqid").join(query_domains(domain_hits), ["qseqid", "pfam_id"], "left_semi").select(*PAIR)
     return top_n(pool.join(shared, PAIR, "left_semi"), ["qseqid"], order(*STRONGEST, "sseqid"), k)
 
 
@@ -84,14 +84,22 @@ def best_domain_evidence(domain_hits: DataFrame) -> DataFrame:
 
 
 def domain_top_n(domain_hits: DataFrame, domains: DataFrame, ranked_hits: DataFrame, n: int = 20) -> DataFrame:
-    """Per query and domain the n proteins with that domain that the query's hits rank highest."""
+    """Per query and domain the n proteins with that domain that the query's hits rank highest, proteins without a hit
+    behind them by id.
+
+    Of the latter only the first 2n proteins of a domain can be among the n: fewer than n rows with evidence and fewer than
+    n without it stand before such a protein.  So a domain of many proteins does not meet all queries that have it."""
     if n <= 0:
         raise ValueError("n must be positive")
     proteins = domains.select(F.col("uniprot_id").alias("sseqid"), "pfam_id").where("sseqid is not null").distinct()
-    found = best_domain_evidence(domain_hits).join(proteins, "pfam_id").join(ranked_hits.select(*PAIR, *EVIDENCE), PAIR, "left")
-    found = found.withColumn("has_blast_hit", F.col("bitscore").isNotNull())
+    evidence, hits = best_domain_evidence(domain_hits), ranked_hits.select(*PAIR, *EVIDENCE)
+    matched = hits.join(proteins, "sseqid").join(evidence, ["qseqid", "pfam_id"])
+    first = top_n(proteins, ["pfam_id"], order("sseqid"), 2 * n)
+    others = evidence.join(first, "pfam_id").join(hits.select(*PAIR), PAIR, "left_anti")
+    found = matched.unionByName(others, allowMissingColumns=True).withColumn("has_blast_hit", F.col("bitscore").isNotNull())
     by = order("-has_blast_hit", *STRONGEST, "-best_domain_score", "best_domain_evalue", "sseqid")
-    return top_n(found, ["qseqid", "pfam_id"], by, n)
+    kept = top_n(found, ["qseqid", "pfam_id"], by, n)
+    return kept.select("qseqid", "sseqid", "pfam_id", "best_domain_score", "best_domain_evalue", *EVIDENCE, "has_blast_hit")
 
 
 def domain_candidates(per_domain: DataFrame) -> DataFrame:

@@ -115,6 +115,16 @@ def _cells(rows: DataFrame, id_column: str, pivots: np.ndarray, block: int) -> D
     return placed.join(F.broadcast(subs), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int")).drop("__n")
 
 
+def _grid(seeds: DataFrame, query: str, targets: DataFrame, target: str, s_blocks: int, t_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of one cell, dealt into blocks that all meet."""
+    sides = []
+    for rows, column, own, n, other, m in ((seeds, query, "s_sub", s_blocks, "t_sub", t_blocks), (targets, target, "t_sub", t_blocks, "s_sub", s_blocks)):
+        some = rows.where(F.col(column).isNotNull() & F.col("vec").isNotNull())
+        sub = F.pmod(F.xxhash64(column), F.lit(n)).cast("int").alias(own)
+        sides.append(some.select(F.lit(0).alias("s_cell"), F.lit(0).alias("t_cell"), sub, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.col(column).alias("id"), F.col("vec").alias("unit")))
+    return sides[0], sides[1]
+
+
 def block_pairs(seeds: DataFrame, targets: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
     """s_cell, s_sub, t_cell, t_sub: the pairs of blocks that may hold a pair at the threshold.
 
@@ -147,26 +157,30 @@ def cosine_join(
     one of targets and keeps each seed's best.  Small tables are one cell.  seeds: query_id, vec.  targets: target_id, vec.
     Rows without an id or a vector are left out.
     """
-    if cells is None:
-        cells = min(MOST_CELLS, max(1, 4 * (targets.count() // target_block)))
-    first = targets.where("vec is not null").orderBy(F.xxhash64("target_id"), "target_id").limit(cells).select("vec").collect()
     kinds = [T.StructField("query_id", seeds.schema["query_id"].dataType), T.StructField("target_id", targets.schema["target_id"].dataType)]
     out = T.StructType([*kinds]).add("similarity", "double")
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in kinds] + [("similarity", pa.float64())])
-    if not first:
-        return targets.sparkSession.createDataFrame([], out)
-    pivots = _units(np.array([r.vec for r in first], np.float64))
-    s, t = _cells(seeds, "query_id", pivots, seed_block), _cells(targets, "target_id", pivots, target_block)
-    pairs = materialize(block_pairs(s, t, pivots, threshold), "pairs")
+    n_targets = targets.count()
+    if cells is None:
+        cells = min(MOST_CELLS, max(1, 4 * (n_targets // target_block)))
     key = ["s_cell", "s_sub", "t_cell", "t_sub"]
-    left = s.withColumnsRenamed({"cell": "s_cell", "sub": "s_sub"}).join(pairs, key[:2]).select(*key, "id", "unit")
-    right = t.withColumnsRenamed({"cell": "t_cell", "sub": "t_sub"}).join(pairs, key[2:]).select(*key, "id", "unit")
+    if cells == 1:
+        left, right = _grid(seeds, "query_id", targets, "target_id", -(-seeds.count() // seed_block) or 1, -(-n_targets // target_block) or 1)
+    else:
+        first = targets.where("vec is not null").orderBy(F.xxhash64("target_id"), "target_id").limit(cells).select("vec").collect()
+        if not first:
+            return targets.sparkSession.createDataFrame([], out)
+        pivots = _units(np.array([r.vec for r in first], np.float64))
+        s, t = _cells(seeds, "query_id", pivots, seed_block), _cells(targets, "target_id", pivots, target_block)
+        pairs = materialize(block_pairs(s, t, pivots, threshold), "pairs")
+        left = s.withColumnsRenamed({"cell": "s_cell", "sub": "s_sub"}).join(pairs, key[:2]).select(*key, "id", "unit")
+        right = t.withColumnsRenamed({"cell": "t_cell", "sub": "t_sub"}).join(pairs, key[2:]).select(*key, "id", "unit")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
         right = right.take(pc.sort_indices(right.column("id")))  # a row's place is its rank by id
-        q, x = (np.array(side.column("unit").to_pylist(), np.float64) for side in (left, right))
+        q, x = (_units(np.array(side.column("unit").to_pylist(), np.float64)) for side in (left, right))
         found = []
         for at in range(0, len(q), 16):
             scores = np.einsum("qd,td->qt", q[at : at + 16], x)  # sums in a fixed order: the same in any block

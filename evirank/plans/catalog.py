@@ -54,11 +54,14 @@ def _per_domain(s: SparkSession, d: str) -> DataFrame:
 
 
 def _combined(s: SparkSession, d: str) -> DataFrame:
-    return candidates.combine(_sequence(s, d), _near(s, d), candidates.domain_candidates(_per_domain(s, d)))
+    """The three methods share the best hits and the strict ones, which are written once."""
+    best, sequence, owned, found = materialize(_best(s, d), "best"), materialize(_sequence(s, d), "sequence"), views.domains(s, d), views.hmmer(s, d)
+    near = candidates.nearest_k(candidates.nearest_pool(best, sequence), owned, found, 5)
+    return candidates.combine(sequence, near, candidates.domain_candidates(candidates.domain_top_n(found, owned, best, 20)))
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
-    return candidates.with_shared_domains(_combined(s, d), views.domains(s, d), views.hmmer(s, d))
+    return candidates.with_shared_domains(materialize(_combined(s, d), "combined"), views.domains(s, d), views.hmmer(s, d))
 
 
 @query("SELECT qseqid, sseqid, l_orderkey, l_linenumber, qcov, scov FROM strict")
