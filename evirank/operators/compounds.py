@@ -7,10 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scratch import materialize
+from ..sources.writers import publish, published
+from .curation import normalize_compounds
 from .similarity import bitcount
 
 Featurizer = Callable[[pd.Series], np.ndarray]
@@ -48,6 +51,30 @@ def representation(ligands: DataFrame, featurize: Featurizer, n_bits: int) -> Da
     return rows.withColumn("failed", F.col("bitcount") == 0)
 
 
+def gather(vectors: DataFrame, asked: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """position, key and the vectors' columns for each asked row (position, key), repeats too; order by position to have
+    them as they were asked.  An asked key without a vector is an error, or left out if not ``strict``.  vectors: key and
+    others, one row per key."""
+    rows = asked.select("position", F.col(key).alias("__asked")).join(vectors, F.col("__asked") == F.col(key), "left" if strict else "inner")
+    if not strict:
+        return rows.drop("__asked")
+    absent = F.raise_error(F.concat(F.lit(f"no vector of {key} "), F.coalesce(F.col("__asked").cast("string"), F.lit("null"))))
+    return rows.withColumn(key, F.when(F.col(key).isNull(), absent.cast(vectors.schema[key].dataType)).otherwise(F.col(key))).drop("__asked")
+
+
+def build_base(table: DataFrame, id_column: str, structure_column: str, ord_column: str, featurizers: dict[str, tuple[Featurizer, int]], path: str) -> None:
+    """Build a compound base from a table of any size: its ligands (chem_comp_id, smiles, lig_idx) and a representation for
+    each named featurizer and its number of bits.  All are published as one version, so indexes always belong together, and
+    a build that fails leaves the base before it."""
+    ligands = materialize(normalize_compounds(table, id_column, structure_column, ord_column), "ligands")
+    publish({"ligands": ligands} | {f"representations/{name}": representation(ligands, featurize, n_bits) for name, (featurize, n_bits) in featurizers.items()}, path)
+
+
+def open_base(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """chem_comp_id, smiles, lig_idx, words, bitcount, failed of a built base and one of its representations."""
+    return published(spark, path, "ligands").join(published(spark, path, f"representations/{name}"), "lig_idx")
+
+
 def failures(rows: DataFrame) -> DataFrame:
     """n, n_failed, share of a representation."""
     return rows.agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("int")).alias("n_failed"), F.avg(F.col("failed").cast("int")).alias("share"))

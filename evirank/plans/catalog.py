@@ -347,6 +347,22 @@ def best_model(s: SparkSession, d: str) -> DataFrame:
     return scoring.best_models(registry, owned)
 
 
+@query(
+    "SELECT query_id, target_id, round(tanimoto, 6) AS score FROM (SELECT query_id, target_id, tanimoto FROM tani WHERE query_id % 20 = 0 AND tanimoto >= 0.4 AND tanimoto <= 0.7 "
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tanimoto DESC, target_id) <= 3) ORDER BY tanimoto DESC, query_id, target_id LIMIT 40"
+)
+def search_limits(s: SparkSession, d: str) -> DataFrame:
+    """The band, then the best of each seed, then the best of all."""
+    found = similarity.search(*_sides(s, d, "vec_id % 20 = 0"), "tanimoto", 0.4, 0.7, per_query=3, top=40)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("SELECT event_id AS position, vec_id, label, n::INT AS bitcount FROM events JOIN nbits ON user_id = vec_id")
+def gather_vectors(s: SparkSession, d: str) -> DataFrame:
+    asked = table(s, d, "events").select(F.col("event_id").alias("position"), F.col("user_id").alias("vec_id"))
+    return compounds.gather(views.bits(s, d), asked, "vec_id", strict=False).select("position", "vec_id", "label", "bitcount")
+
+
 _DOMAINS = "SELECT DISTINCT vec_id % 7 AS uniprot_id, (vec_id % 7 + label % 2) % 5 AS pfam_id FROM embeddings"
 _REGISTRY = "SELECT label % 5 AS pfam_id, round(avg(n), 6) AS auc FROM nbits WHERE label % 5 <> 3 GROUP BY 1"
 _WEIGHTS = "SELECT m.pfam_id, list(m.a - o.a ORDER BY i) AS w FROM (SELECT label % 5 AS pfam_id, i, avg(b[i]) AS a FROM nbits, range(1, 65) AS t(i) GROUP BY ALL) m JOIN (SELECT i, avg(b[i]) AS a FROM nbits, range(1, 65) AS t(i) GROUP BY i) o USING (i) GROUP BY m.pfam_id"
@@ -622,6 +638,12 @@ def fasta_headers(s: SparkSession, d: str) -> DataFrame:
     return readers.fasta_queries(lines)
 
 
+@query("SELECT DISTINCT regexp_extract(line, '^>\\s*(\\S+)', 1) AS qseqid FROM (SELECT unnest(string_split('>' || replace(text, chr(10), chr(10) || '>'), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^>\\s*\\S')")
+def fasta_ids(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    return readers.fasta_ids(docs.select(F.explode(F.split(F.concat(F.lit(">"), F.replace("text", F.lit("\n"), F.lit("\n>"))), "\n")).alias("value")))
+
+
 @query("SELECT count(*) AS n_records, sum(length(regexp_replace(p_name, '\\s', '', 'g'))) AS n_residues, (SELECT count(*) FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) > 1)) AS n_repeated, true AS valid FROM part")
 def fasta_inspect(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part")
@@ -667,6 +689,11 @@ def counts_by_method(s: SparkSession, d: str) -> DataFrame:
     return pages.counts_by_method(_pairs(_candidates(s, d), s, d))
 
 
+@query("SELECT search_type, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM pairs GROUP BY search_type")
+def sources_by_method(s: SparkSession, d: str) -> DataFrame:
+    return pages.sources_by_method(_pairs(_candidates(s, d), s, d)).withColumn("sources", F.array_join("sources", ","))
+
+
 @query("SELECT chem_comp_id, qseqid, sseqid, search_type FROM pairs QUALIFY row_number() OVER (PARTITION BY chem_comp_id ORDER BY CASE search_type WHEN 'sequence' THEN 0 WHEN 'nearest_k' THEN 1 ELSE 2 END, qseqid, sseqid, source) = 1")
 def best_per_compound(s: SparkSession, d: str) -> DataFrame:
     return pages.best_per_compound(_pairs(_candidates(s, d), s, d), "chem_comp_id", ["qseqid", "sseqid", "source"]).select("chem_comp_id", "qseqid", "sseqid", "search_type")
@@ -835,3 +862,14 @@ def compound_representation(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "part").select(F.col("p_partkey").alias("lig_idx"), F.col("p_name").alias("smiles"))
     return compounds.representation(rows, compounds.hashed_ngrams(1024), 1024).select("lig_idx", "bitcount", "failed")
 
+
+@query(
+    "SELECT chem_comp_id, smiles, row_number() OVER (ORDER BY ord) - 1 AS lig_idx, length(smiles) < 2 AS failed FROM (SELECT p_brand || ' ' || p_size AS chem_comp_id, p_name AS smiles, p_partkey AS ord FROM part "
+    "QUALIFY row_number() OVER (PARTITION BY p_brand || ' ' || p_size ORDER BY p_partkey) = 1)"
+)
+def compound_base(s: SparkSession, d: str) -> DataFrame:
+    """A base built of parts, the first of each brand and size, opened with one of its representations."""
+    path = scratch_path(s, "base")
+    parts = table(s, d, "part").select(F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("id"), "p_name", "p_partkey")
+    compounds.build_base(parts, "id", "p_name", "p_partkey", {"ngrams_256": (compounds.hashed_ngrams(256), 256)}, path)
+    return compounds.open_base(s, path, "ngrams_256").select("chem_comp_id", "smiles", "lig_idx", "failed")

@@ -35,6 +35,11 @@ def counts_by_method(df: DataFrame) -> DataFrame:
     return df.groupBy("search_type").agg(F.count("*").alias("n"))
 
 
+def sources_by_method(df: DataFrame) -> DataFrame:
+    """search_type, sources: the distinct sources of its rows, sorted; null is none."""
+    return df.groupBy("search_type").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
 def best_per_compound(df: DataFrame, ligand: str, tie: list[str]) -> DataFrame:
     """The first row of each compound, but one of a better method before it."""
     return keep_first(df, [ligand], [method_rank().asc(), *order(*tie)])

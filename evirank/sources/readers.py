@@ -26,6 +26,11 @@ def fasta_queries(lines: DataFrame) -> DataFrame:
     return lines.where(F.startswith("value", F.lit(">"))).select(first_token(F.col("value")).alias("qseqid")).where("qseqid is not null")
 
 
+def fasta_ids(lines: DataFrame) -> DataFrame:
+    """The distinct qseqid of a table of lines."""
+    return fasta_queries(lines).distinct()
+
+
 def read_fasta_queries(spark: SparkSession, path: str) -> DataFrame:
     return fasta_queries(spark.read.text(path))
 

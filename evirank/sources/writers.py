@@ -42,14 +42,17 @@ def write_results(ranking: DataFrame, known: DataFrame, predicted: DataFrame, pa
         write_per_query(rows, f"{path}/{name}")
 
 
-def publish(df: DataFrame, path: str) -> str:
-    """Write a table as a new version below ``path`` and make it the current one; returns the version.
-
-    The rows are staged under a name of their own and renamed when they are whole; then the pointer CURRENT is replaced.
-    A write that fails leaves the version before it in place, and readers never see a part of a table."""
-    folder, version = Folder(df.sparkSession, path), f"v-{uuid.uuid4().hex}"
+def publish(tables: DataFrame | dict[str, DataFrame], path: str) -> str:
+    """Write a table, or several that belong together by name, as a new version below ``path`` and make it the current one;
+    returns the version.
+
+    The rows are staged under a name of their own and renamed when all are whole; then the pointer CURRENT is replaced.
+    A write that fails leaves the version before it in place, and readers never see a part of it."""
+    parts = tables if isinstance(tables, dict) else {"": tables}
+    folder, version = Folder(next(iter(parts.values())).sparkSession, path), f"v-{uuid.uuid4().hex}"
     try:
-        df.write.parquet(folder.at(f".staging-{version}"))
+        for name, df in parts.items():
+            df.write.parquet(folder.at(f".staging-{version}/{name}".rstrip("/")))
         folder.move(f".staging-{version}", version)
     except Exception:
         folder.delete(f".staging-{version}")
@@ -58,12 +61,12 @@ def publish(df: DataFrame, path: str) -> str:
     return version
 
 
-def published(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a table of ``publish``."""
+def published(spark: SparkSession, path: str, name: str = "") -> DataFrame:
+    """The current version of what ``publish`` wrote; of several tables the named one."""
     now = Folder(spark, path).read("CURRENT")
     if now is None:
         raise ValueError(f"nothing is published below {path}")
-    return spark.read.parquet(f"{path}/{now['version']}")
+    return spark.read.parquet(f"{path}/{now['version']}/{name}".rstrip("/"))
 
 
 def drop_old_versions(spark: SparkSession, path: str) -> list[str]:
