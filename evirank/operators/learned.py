@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialize
 from .predicted import public_rows, representative_seeds, seeds_of, with_compounds
 from .scoring import best_models, learned_scores
 
@@ -32,7 +33,7 @@ def learned_search(
     hit, the best ``top`` of a protein.  All proteins are searched in one plan; proteins without a domain with a model,
     or without known ligands, give nothing.  models: see ``scoring.MODEL_TABLE``.  targets: target_id, words.  compounds:
     lig_idx, chem_comp_id, smiles.  The other tables: see ``model_seeds``."""
-    seeds = model_seeds(domains, registry, known, vectors, limit, cluster)
+    seeds = materialize(model_seeds(domains, registry, known, vectors, limit, cluster), "model-seeds")
     hits = learned_scores(seeds, targets, models, dim, threshold, per_seed, top=None, **blocks)
     rows = public_rows(with_compounds(hits, compounds), prefix, "bsi_score", top)
     return rows.join(seeds.select("uniprot_id", "pfam_id").distinct(), "uniprot_id").select("uniprot_id", "pfam_id", "chem_comp_id", "smiles", "query_id", F.col("bsi_score"))
