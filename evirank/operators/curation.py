@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scratch import materialize
 from .ranking import keep_first
-from .similarity import shared_bits, tanimoto
+from .similarity import tanimoto_join
 
 # Comments that count as evidence against an association.
 INACTIVE_COMMENTS = ("inactive", "not active", "no activity", "inconclusive inactive")
@@ -77,15 +77,12 @@ def similarity_curation(possible: DataFrame, trusted: DataFrame, threshold: floa
     Remaining: those whose pair of ligand and protein has no curated row.  possible: uniprot_id,
     chem_comp_id, pfam_id, words, bitcount.  trusted: pfam_id, words, bitcount.
 
-    Distinct ligands meet within a domain and within the bit counts that the threshold allows.
+    Distinct ligands meet the distinct vectors of their domain; each brings its best one only (``tanimoto_join``).
     """
     ligand = possible.select("pfam_id", "chem_comp_id", "words", "bitcount").dropDuplicates(["pfam_id", "chem_comp_id"])
-    low = F.greatest(F.floor(F.col("bitcount") * threshold).cast("int") - 1, F.lit(0))
-    high = F.ceil(F.col("bitcount") / threshold).cast("int") + 1
-    a = ligand.withColumn("nb", F.explode(F.sequence(low, high)))
-    b = trusted.select("pfam_id", F.col("words").alias("t_words"), F.col("bitcount").alias("nb")).distinct()
-    close = tanimoto(shared_bits(F.col("words"), F.col("t_words")), F.col("bitcount"), F.col("nb")) >= threshold
-    supported = a.join(b, ["pfam_id", "nb"]).where(close).select("pfam_id", "chem_comp_id").distinct()
+    a = ligand.where("chem_comp_id is not null").select("pfam_id", F.struct("pfam_id", "chem_comp_id").alias("query_id"), "words", "bitcount")
+    b = trusted.select("pfam_id", F.lit(0).alias("target_id"), "words", "bitcount").distinct()
+    supported = tanimoto_join(a, b, threshold, per_query=1, within=["pfam_id"]).select("query_id.*")
     curated = possible.join(supported, ["pfam_id", "chem_comp_id"], "left_semi")
     remaining = possible.join(curated.select("uniprot_id", "chem_comp_id"), ["uniprot_id", "chem_comp_id"], "left_anti")
     return curated, remaining
