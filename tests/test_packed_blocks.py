@@ -58,3 +58,21 @@ def test_max_pairwise_and_curation(spark):
     curated, _ = curation.similarity_curation(of.where("chem_comp_id % 2 = 1"), of.where("chem_comp_id % 2 = 0"), 0.6)
     assert {r.chem_comp_id for r in curated.collect()} == {i for i in range(1, 90, 2) if any(v[i, j] >= 0.6 for j in range(0, 90, 2) if i % 3 == j % 3)}
 
+
+def test_proteins_that_share_seeds_meet_no_more_hits_than_they_keep(spark):
+    """600 proteins of 20 seeds that 2,000 targets are like: all hits of all proteins would be 24 million rows."""
+    words = [((1 << 62) - 1) ^ (1 << (i % 60)) for i in range(2000)]
+    targets = spark.createDataFrame([(i, [w], 61) for i, w in enumerate(words)], "target_id long, words array<long>, bitcount int")
+    seeds = targets.where("target_id < 20").withColumnRenamed("target_id", "query_id")
+    of = spark.range(600).select(F.when(F.col("id") > 0, F.col("id")).alias("uniprot_id"))
+    proteins = of.crossJoin(seeds).where("coalesce(uniprot_id, 0) % 2 = 0 or query_id >= 10")
+    got = similarity.similarity_search(proteins, targets, 0.9, top=25)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.uniprot_id, []).append((r.target_id, r.query_id, r.tanimoto))
+    assert set(by) == {None, *range(1, 600)}
+    # the targets that are the seed's copies, then, for the first seed only
+    for p, low in ((None, 0), (1, 10), (2, 0), (599, 10)):
+        assert sorted(by[p]) == [(t, low, 1.0) for t in range(low, 25 * 60, 60)]
+    rows = [n for n in ("Join", "Window") if n in got._jdf.queryExecution().optimizedPlan().toString()]
+    assert rows == ["Join"]  # ranked before the proteins are met
