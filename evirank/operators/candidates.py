@@ -11,8 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialize
 from .ranking import keep_first, order, top_n
 
+#: Queries whose domains are sent to the hits (some hundred bytes each).
+FEW_QUERIES = 500_000
 PAIR = ["qseqid", "sseqid"]
 EVIDENCE = ["bitscore", "evalue", "pident", "qcov", "scov"]
 STRONGEST = ["-bitscore", "evalue", "-pident", "-qcov", "-scov"]
@@ -70,9 +73,25 @@ def query_domains(domain_hits: DataFrame, evalue_max: float | None = None) -> Da
     return df.where("qseqid is not null and pfam_id is not null").select("qseqid", "pfam_id").distinct()
 
 
-def nearest_k(pool: DataFrame, domains: DataFrame, domain_hits: DataFrame, k: int | None = 5) -> DataFrame:
+def sharing_hits(hits: DataFrame, domains: DataFrame, domain_hits: DataFrame) -> DataFrame:
+    """Hits whose protein has a domain of their query: all that nearest k and the shared domains ever take, so that the other
+    hits need not be ranked.  Each hit meets the list of its protein's domains (those that some query has) and of its query's."""
+    wanted = query_domains(domain_hits)
+    mine = materialize(wanted.groupBy("qseqid").agg(F.collect_set("pfam_id").alias("__of_query")), "query-domains")
+    asked = mine.select(F.explode("__of_query").alias("pfam_id")).distinct()
+    proteins = domains.select(F.col("uniprot_id").alias("sseqid"), "pfam_id").join(asked, "pfam_id", "left_semi")
+    of = proteins.groupBy("sseqid").agg(F.collect_set("pfam_id").alias("__of_protein"))
+    few = F.broadcast(mine) if mine.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES else mine
+    both = hits.join(of, "sseqid").join(few, "qseqid")
+    return both.where(F.arrays_overlap("__of_query", "__of_protein")).select(*hits.columns)
+
+
+def nearest_k(pool: DataFrame, domains: DataFrame, domain_hits: DataFrame, k: int | None = 5, shared: bool = False) -> DataFrame:
     """Of each query's pool, proteins that share a domain with it; the strongest k.  The pool's pairs are looked up, so a
-    domain of many proteins and queries makes no more rows than the pool has."""
+    domain of many proteins and queries makes no more rows than the pool has.  shared: the pool has no other pairs
+    (``sharing_hits``)."""
+    if shared:
+        return top_n(pool, ["qseqid"], order(*STRONGEST, "sseqid"), k)
     proteins = domains.select(F.col("uniprot_id").alias("sseqid"), "pfam_id")
     shared = pool.select(*PAIR).join(proteins, "sseqid").join(query_domains(domain_hits), ["qseqid", "pfam_id"], "left_semi").select(*PAIR)
     return top_n(pool.join(shared, PAIR, "left_semi"), ["qseqid"], order(*STRONGEST, "sseqid"), k)
@@ -88,17 +107,21 @@ def domain_top_n(domain_hits: DataFrame, domains: DataFrame, ranked_hits: DataFr
     behind them by id.
 
     Of the latter only the first 2n proteins of a domain can be among the n: fewer than n rows with evidence and fewer than
-    n without it stand before such a protein.  So a domain of many proteins does not meet all queries that have it."""
+    n without it stand before such a protein.  So a domain of many proteins does not meet all queries that have it.  And
+    they are made only for those queries and domains that fewer than n hits with a score belong to."""
     if n <= 0:
         raise ValueError("n must be positive")
+    key = ["qseqid", "pfam_id"]
     proteins = domains.select(F.col("uniprot_id").alias("sseqid"), "pfam_id").where("sseqid is not null").distinct()
-    evidence, hits = best_domain_evidence(domain_hits), ranked_hits.select(*PAIR, *EVIDENCE)
-    matched = hits.join(proteins, "sseqid").join(evidence, ["qseqid", "pfam_id"])
-    first = top_n(proteins, ["pfam_id"], order("sseqid"), 2 * n)
-    others = evidence.join(first, "pfam_id").join(hits.select(*PAIR), PAIR, "left_anti")
-    found = matched.unionByName(others, allowMissingColumns=True).withColumn("has_blast_hit", F.col("bitscore").isNotNull())
+    evidence, hits = materialize(best_domain_evidence(domain_hits), "evidence"), ranked_hits.select(*PAIR, *EVIDENCE)
     by = order("-has_blast_hit", *STRONGEST, "-best_domain_score", "best_domain_evalue", "sseqid")
-    kept = top_n(found, ["qseqid", "pfam_id"], by, n)
+    asked = proteins.join(evidence.select("pfam_id").distinct(), "pfam_id", "left_semi")
+    matched = hits.join(asked, "sseqid").join(evidence, key).withColumn("has_blast_hit", F.col("bitscore").isNotNull())
+    matched = materialize(top_n(matched, key, by, n), "matched")
+    full = matched.where("has_blast_hit").groupBy(*key).count().where(F.col("count") >= n).select(*key)
+    first = top_n(asked, ["pfam_id"], order("sseqid"), 2 * n)
+    others = evidence.join(full, key, "left_anti").join(first, "pfam_id").join(hits.select(*PAIR), PAIR, "left_anti").withColumn("has_blast_hit", F.lit(False))
+    kept = matched.join(full, key, "left_semi").unionByName(top_n(matched.join(full, key, "left_anti").unionByName(others, allowMissingColumns=True), key, by, n), allowMissingColumns=True)
     return kept.select("qseqid", "sseqid", "pfam_id", "best_domain_score", "best_domain_evalue", *EVIDENCE, "has_blast_hit")
 
 
@@ -113,16 +136,22 @@ def domain_candidates(per_domain: DataFrame) -> DataFrame:
 
 def combine(*methods: DataFrame) -> DataFrame:
     """All methods' candidates; a pair found by several keeps the row of the first method."""
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), methods).distinct()
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), methods)
     return keep_first(union.withColumn("__m", method_rank()), PAIR, [F.asc("__m"), *order(*STRONGEST)]).drop("__m")
 
 
 def with_shared_domains(candidates: DataFrame, domains: DataFrame, domain_hits: DataFrame) -> DataFrame:
-    """n_shared_domains: the count a candidate brings along, else its domains that the query has, else 0."""
+    """n_shared_domains: the count a candidate brings along, else its domains that the query has, else 0.  Only candidates
+    without a count are looked up."""
+    has = "n_shared_domains" in candidates.columns
+    rest = candidates.where("n_shared_domains is null").drop("n_shared_domains") if has else candidates
     proteins = domains.select(F.col("uniprot_id").alias("sseqid"), "pfam_id").distinct()
     counts = (
-        candidates.select(*PAIR).distinct().join(proteins, "sseqid").join(query_domains(domain_hits), ["qseqid", "pfam_id"])
+        rest.select(*PAIR).distinct().join(proteins, "sseqid").join(query_domains(domain_hits), ["qseqid", "pfam_id"])
         .groupBy(*PAIR).agg(F.countDistinct("pfam_id").alias("__n"))
     )
-    own = F.col("n_shared_domains") if "n_shared_domains" in candidates.columns else F.lit(None).cast("long")
-    return candidates.join(counts, PAIR, "left").withColumn("n_shared_domains", F.coalesce(own, "__n", F.lit(0)).cast("long")).drop("__n")
+    rest = rest.join(counts, PAIR, "left").withColumn("n_shared_domains", F.coalesce("__n", F.lit(0)).cast("long")).drop("__n")
+    if not has:
+        return rest
+    own = candidates.where("n_shared_domains is not null").withColumn("n_shared_domains", F.col("n_shared_domains").cast("long"))
+    return own.unionByName(rest.select(*own.columns))
