@@ -99,6 +99,21 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return one.mapInArrow(run, "node long, bytes binary, shingles binary")
 
 
+def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of pairs (src, dst) of text hashes those whose shingle sets have the similarity."""
+    nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    sets = materialize(_sets(docs, nodes, size), "shingle-sets")
+    side = lambda n: sets.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in sets.columns if c != "node"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            one, two = (b.column(f"{n}_shingles").to_pylist() for n in ("src", "dst"))
+            ok = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in zip(one, two, strict=True)]
+            yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "src_shingles", "dst_shingles").mapInArrow(run, "src long, dst long")
+
+
 def alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
     if min(len(one), len(two)) < similarity * max(len(one), len(two)) - 1e-9:
         return False
@@ -181,7 +196,7 @@ def _links(lists: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "src long, dst long")
 
 
-def text_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def text_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
     """(node, root): of every distinct text that is linked to another, its hash (``text_hash``) and the
     smallest hash reachable over pairs of texts whose sets of ``size``-word shingles have a Jaccard similarity
     of at least ``similarity``.
@@ -195,6 +210,8 @@ def text_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
        a list that shares enough bytes is verified or joined already, and a group of near copies costs its
        size; no pair is a row.
 
+    known: (src, dst) links found and verified elsewhere; they count like those found here.
+
     Null counts as empty; texts without words are alike.  Repeated rows are one text; an empty table gives an
     empty result; other columns are ignored.
     """
@@ -207,6 +224,7 @@ def text_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     sets = materialize(_sets(docs, members.select("node").distinct(), size), "shingle-sets")
     own = members.select("key", "part", "node", F.lit(False).alias("visits"), F.col("node").alias("label")).join(sets, "node")
     edges = materialize(_links(own, similarity), "verified")
+    edges = edges if known is None else edges.select("src", "dst").union(known.select("src", "dst"))
     large = members.where(F.col("n") > PART)
     if large.isEmpty():
         return components(edges)
@@ -224,7 +242,7 @@ def text_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     return components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(more))
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
     """doc_id, text_hash, component_id, stays, n_rows: one row per distinct (doc_id, text), which n_rows rows have.
 
     component_id: the smallest doc_id of the text's group (see ``text_groups``; copies of a text are one
@@ -234,7 +252,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     A doc_id that comes with several texts is several documents; a null doc_id takes part like any other.
     """
     rows = materialize(docs.select("doc_id", text_hash().alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_rows")), "ids")
-    roots = text_groups(docs, size, similarity)
+    roots = text_groups(docs, size, similarity, known)
     # a group that holds a third of all rows is one row per map task
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("text")))
     by_text = materialize(

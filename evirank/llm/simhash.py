@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, batches, bytes_of, materialize, text_hash
 from .components import components
-from .near_copies import near_copies
+from .near_copies import near_copies, verified
 
-__all__ = ["fingerprint", "fingerprints", "links", "near_duplicates", "position_sets", "similar_texts", "text_hash"]
+__all__ = ["fingerprint", "fingerprints", "links", "near_duplicates", "position_sets", "similar_links", "similar_texts", "text_hash"]
 
 
 def fingerprint(text: bytes | None, shingle: int, words: int = 1, seed: int = 42) -> list[int]:
@@ -181,12 +181,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, words:
     return rows.join(ids, F.col("fps") == F.col("c_fps")).select("doc_id", "fps", "component_id")
 
 
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
+    """(src, dst) hashes of different texts whose fingerprints are linked within ``max_bits`` bits (``links``) and whose
+    shingle sets have the similarity: each text with the first of its fingerprint, and those along the links."""
+    texts = docs.select(text_hash().alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    of = materialize(fingerprints(texts, shingle).select(F.col("doc_id").alias("node"), F.col("fps")[0].alias("fp")).distinct(), "fingerprints")
+    own = materialize(of.groupBy("fp").agg(F.min("node").alias("rep")), "postings")
+    at = lambda side: own.select(F.col("fp").alias(f"fp_{side}"), F.col("rep").alias(side))
+    found = links(own.select(F.lit(0).cast("long").alias("w"), "fp"), max_bits).select(F.col("src").alias("fp_src"), F.col("dst").alias("fp_dst")).distinct()
+    pairs = found.join(at("src"), "fp_src").join(at("dst"), "fp_dst").select("src", "dst")
+    same = of.join(own, "fp").where("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst"))
+    return materialize(verified(materialize(pairs.union(same), "pairs"), docs, shingle, similarity), "verified")
+
+
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash, component_id, stays, n_rows: near copies down to a Jaccard similarity of the word shingles,
     one row per distinct (doc_id, text).
 
-    The same index of positions with a count filter, but its bytes are those of min-hashes: at 0.8 a byte of
-    sign bits agrees with probability 0.27 only, and no affordable number of them finds most such pairs.
-    Every link is verified on the shingle sets.  See ``near_copies``.
+    The fingerprints' index links the copies within 3 bits (``similar_links``).  Below a similarity of some 0.95 it finds
+    few: at 0.8 a byte of sign bits agrees with probability 0.27 only, and no affordable number of them finds most such
+    pairs.  So the rest comes from the same index of positions with a count filter over bytes of min-hashes.  Every link is
+    verified on the shingle sets.  See ``near_copies``.
     """
-    return near_copies(docs, shingle, similarity)
+    return near_copies(docs, shingle, similarity, similar_links(docs, shingle, similarity))
