@@ -16,6 +16,9 @@ BUCKETS = 1 << 20
 SIZES = (3, 5, 7)
 #: Words whose subwords are held at once in training.
 CHUNK = 20_000
+#: Words of texts that training and scoring take at a time; rows whose texts scoring holds as bytes at once.
+TOGETHER = 200_000
+ROWS = 500
 #: Distinct words whose score a worker remembers.
 REMEMBERED = 150_000
 
@@ -66,11 +69,13 @@ class Model:
         self.direction, self.bias, self.window, self.scale = direction.astype(np.float32), bias, window, scale
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        flat, first = subwords(words)
-        part = self.direction[flat].astype(np.float64)
-        return np.add.reduceat(part, first) / np.maximum(np.add.reduceat((part != 0).astype(np.int64), first), 1)
+        """Log-odds of each word; the subwords of ``CHUNK`` words are held at once."""
+        out = np.zeros(len(words))
+        for i in range(0, len(words), CHUNK):
+            flat, first = subwords(words[i : i + CHUNK])
+            part = self.direction[flat].astype(np.float64)
+            out[i : i + CHUNK] = np.add.reduceat(part, first) / np.maximum(np.add.reduceat((part != 0).astype(np.int64), first), 1)
+        return out
 
     def evidence(self, scores: np.ndarray) -> tuple[float, float]:
         """Log-odds of the most toxic run and of the whole text; a text of no words has the bias alone."""
@@ -105,7 +110,7 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
     toxic, or a label that all texts share, is fine.  Deterministic."""
     y = np.array(labels, np.int64)
     vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
     rng = np.random.default_rng(seed)
     W, b = rng.normal(0, 0.3, (2, dim)), np.zeros(2)
     if not vocabulary or len(set(labels)) < 2:
@@ -148,31 +153,36 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
     steps = _adam(E.shape, 0.03), _adam(W.shape, 0.03), _adam(b.shape, 0.03)
     has = np.flatnonzero(sizes)
     everything = np.arange(len(vocabulary))
+    # texts with words, some ``TOGETHER`` words of them at a time
+    groups = np.split(has, np.flatnonzero(np.diff(ends[has] // TOGETHER)) + 1)
     for epoch in range(warm + epochs):
         if epoch < warm:
             lo, n = starts.copy(), np.maximum(sizes, 1)
         else:
             direction = E @ (W[1] - W[0])
             score = np.concatenate([np.bincount(own, direction[f], at.stop - at.start) for at, f, own in blocks(everything)]) / count
-            total = np.concatenate(([0.0], np.cumsum(score[words])))
             n = np.clip(sizes, 1, window)
-            lo = starts.copy()
-            # runs of full length, all at once; those that cross a text's end are left out
-            run = np.full(len(words), -np.inf)
-            full = len(words) - window + 1
-            if full > 0:
-                run[:full] = total[window:] - total[:-window]
-            inside = np.arange(len(words)) + window <= np.repeat(ends, sizes)
-            run[~inside] = -np.inf
-            best = np.maximum.reduceat(run, starts[has])
-            doc = np.repeat(np.arange(len(has)), sizes[has])
-            at = np.flatnonzero((run == best[doc]) & np.isfinite(run))
-            lo[has[doc[at[::-1]]]] = at[::-1]  # the first of equal runs
+            lo, carry = starts.copy(), 0.0
+            for g in groups:  # runs of full length, all at once; those that cross a text's end are left out
+                a, z = starts[g[0]], ends[g[-1]]
+                total = np.cumsum(np.concatenate(([carry], score[words[a:z]])))
+                carry = total[-1]
+                run = np.full(z - a, -np.inf)
+                if z - a >= window:
+                    run[: z - a - window + 1] = total[window:] - total[:-window]
+                run[np.arange(a, z) + window > np.repeat(ends[g], sizes[g])] = -np.inf
+                best = np.maximum.reduceat(run, starts[g] - a)
+                doc = np.repeat(np.arange(len(g)), sizes[g])
+                at = np.flatnonzero((run == best[doc]) & np.isfinite(run))
+                lo[g[doc[at[::-1]]]] = at[::-1] + a  # the first of equal runs
         # words of the chosen runs, and their texts
         n = np.where(sizes == 0, 0, np.minimum(n, sizes))
-        pick = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-        text = np.repeat(np.arange(len(y)), n)
-        used, where = np.unique(words[pick], return_inverse=True)
+        text = np.repeat(np.arange(len(y), dtype=np.int32), n)
+        if epoch < warm:
+            used, where = everything, words
+        else:
+            pick = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+            used, where = np.unique(words[pick], return_inverse=True)
         vec = np.concatenate([np.stack([np.bincount(own, E[f, d], at.stop - at.start) for d in range(dim)], 1) for at, f, own in blocks(used)]) / count[used][:, None]
         mean = np.stack([np.bincount(text, vec[where, d], len(y)) for d in range(dim)], 1) / np.maximum(n, 1)[:, None]
         logits = mean @ W.T + b
@@ -194,7 +204,7 @@ def fit(texts: list[bytes | None], labels: list[int], dim: int = 4, window: int
     direction[active] = E @ (W[1] - W[0])
     model = Model(direction, float(b[1] - b[0]), window)
     # the two log-odds are weighed on the same texts: three numbers, by Newton steps
-    score = np.concatenate([model.words(part) for _, part in parts])
+    score = model.words(names)
     x = np.array([model.evidence(score[i]) for i in ids])
     mid, wide = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack(((x - mid) / wide, np.ones(len(x))))
@@ -231,15 +241,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_bytes: i
     return fit(texts, marks, **options)
 
 
-def score(docs: DataFrame, model: Model, keep: list[Column | str] = ()) -> DataFrame:
-    """doc_id, score (0 to 1, higher: more likely toxic), predicted (1 if score >= 0.5), the columns ``keep``.
+def score(docs: DataFrame, model: Model, keep: list[Column | str] = (), text: bool = False) -> DataFrame:
+    """doc_id, score (0 to 1, higher: more likely toxic), predicted (1 if score >= 0.5), the columns ``keep``; ``text``:
+    and after ``predicted`` the text as a string, which so passes the worker once.
 
     One row per input row, over the whole text.  Null and empty texts and texts without words get the score
     of no evidence; repeated rows are scored each; an empty table gives an empty result; other columns are
     ignored.  Words never seen in training score by the character n-grams they share with those that were.
     """
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep)
-    kept = source.columns[2:]
+    first = 1 if text else 2
+    kept = source.columns[first:]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, float] = {}
@@ -257,16 +269,17 @@ def score(docs: DataFrame, model: Model, keep: list[Column | str] = ()) -> DataF
                     odds.append(model.evidence(np.fromiter(map(known.__getitem__, words), np.float64, len(words))))
                 pending, size = [], 0
 
-            for t in bytes_of(b.column(1)):
-                pending.append(words_of(t))
-                size += len(pending[-1])
-                if size > 200_000:
-                    settle()
+            for i in range(0, b.num_rows, ROWS):
+                for t in bytes_of(b.column(1).slice(i, ROWS)):
+                    pending.append(words_of(t))
+                    size += len(pending[-1])
+                    if size > TOGETHER:
+                        settle()
             settle()
             p = model.probability(odds)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(b.column(2 + i) for i in range(len(kept)))], ["doc_id", "score", "predicted", *kept]
+                [b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(b.column(first + i) for i in range(len(kept)))], ["doc_id", "score", "predicted", *kept]
             )
 
-    made = StructType([source.schema[0], *StructType.fromDDL("score double, predicted int").fields, *source.schema.fields[2:]])
+    made = StructType([source.schema[0], *StructType.fromDDL("score double, predicted int").fields, *source.schema.fields[first:]])
     return source.mapInArrow(run, made)
