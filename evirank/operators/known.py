@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Ligands with a structure that are sent to the binding rows.
+FEW_LIGANDS = 500_000
+KEYS = ["uniprot_id", "chem_comp_id", "pfam_id", "source"]
+
 
 def _first(value: str, by: str) -> Column:
     """The first non-null value in row order."""
@@ -22,7 +26,7 @@ TEXTS = ["mechanism", "activity_comment", "curation_method"]
 def collapse_by_domain(binding: DataFrame) -> DataFrame:
     """Per protein, ligand, domain and source: ids in row order (column ord), maximum, first non-null texts.
     Rows with a null key are left out."""
-    keys = ["uniprot_id", "chem_comp_id", "pfam_id", "source"]
+    keys = KEYS
     texts = [c for c in TEXTS if c in binding.columns]
     some = F.when(F.col("pdb_id").isNotNull(), F.struct(F.col("ord"), F.col("pdb_id").alias("v")))
     return binding.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(
@@ -48,5 +52,14 @@ def known_binding(binding: DataFrame, structures: DataFrame) -> DataFrame:
     return collapse_sites(collapse_by_domain(binding)).join(lookup, "chem_comp_id")
 
 
+def known_rows(binding: DataFrame, structures: DataFrame) -> DataFrame:
+    """uniprot_id, chem_comp_id, source of the rows that ``known_binding`` collapses, repeated: for results that need no more of
+    it, so that they are reduced before any shuffle."""
+    named = structures.where("chem_comp_id is not null and smiles is not null").select("chem_comp_id").distinct()
+    few = F.broadcast(named) if named.limit(FEW_LIGANDS + 1).count() <= FEW_LIGANDS else named
+    rows = binding.where(" and ".join(f"{k} is not null" for k in KEYS))
+    return rows.select("uniprot_id", "chem_comp_id", "source").join(few, "chem_comp_id", "left_semi")
+
+
 def protein_domains(binding: DataFrame) -> DataFrame:
     return binding.where("uniprot_id is not null and pfam_id is not null").select("uniprot_id", "pfam_id").distinct()

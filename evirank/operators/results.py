@@ -32,6 +32,13 @@ def ligands_of(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.select(*PAIR, "search_type").join(known.withColumnRenamed("uniprot_id", "sseqid"), "sseqid")
 
 
+def first_ligands_of(candidates: DataFrame, known: DataFrame, ligand: str = "chem_comp_id") -> DataFrame:
+    """Of ``ligands_of`` the first row of each protein and ligand by method, query and source: each ligand's first row by method,
+    query, protein and source is among them.  Both sides are reduced before they meet."""
+    first = keep_first(candidates.select(*PAIR, "search_type"), ["sseqid"], [method_rank().asc(), *order("qseqid")])
+    return ligands_of(first, known.groupBy("uniprot_id", ligand).agg(F.min("source").alias("source")))
+
+
 def with_protein_rank(ligands: DataFrame, ranking: DataFrame) -> DataFrame:
     """protein_rank of each row; a protein without one stands behind all others."""
     last = ranking.groupBy("qseqid").agg(F.max("protein_rank").alias("__n"))
