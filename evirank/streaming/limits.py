@@ -68,21 +68,22 @@ def _tick(us: int) -> int:
 
 
 class _InOrder(StatefulProcessor):
-    """Holds a key's requests until the watermark has passed them, then admits them in the order of their times."""
+    """Holds a key's requests until the watermark has passed them, then admits them in the order of their times.  What
+    arrives together is one entry of the state, not one a request."""
 
     def __init__(self, key: str, tie: str, tie_type: T.DataType, limit: int, window_us: int):
         self.key, self.tie, self.tie_type, self.limit, self.window = key, tie, tie_type, limit, window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", T.StructType().add("us", "long").add("tie", self.tie_type))
+        self.pending = handle.getListState("pending", T.StructType().add("us", T.ArrayType(T.LongType())).add("tie", T.ArrayType(self.tie_type)))
         self.accepted = handle.getValueState("accepted", T.StructType().add("times", T.ArrayType(T.LongType())))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
             us = pdf["us"].astype("int64").tolist()
-            self.pending.appendList(list(zip(us, pdf[self.tie].tolist(), strict=True)))
+            self.pending.appendValue((us, pdf[self.tie].tolist()))
             first = min(us if first is None else [first, *us])
         if first is not None:
             self.handle.registerTimer(_tick(first))
@@ -90,12 +91,12 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [(int(us), tie) for us, tie in self.pending.get()]
+        held = [(int(us), tie) for times, ties in self.pending.get() for us, tie in zip(times, ties, strict=True)]
         ready, rest = sorted(r for r in held if r[0] <= now), [r for r in held if r[0] > now]
         limiter = Limiter(self.limit, self.window, list(self.accepted.get()[0]) if self.accepted.exists() else [])
         got = [(*key, tie, us, *limiter.admit(us)) for us, tie in ready]
         if ready:
-            self.pending.put(rest) if rest else self.pending.clear()
+            self.pending.put([tuple(map(list, zip(*rest, strict=True)))]) if rest else self.pending.clear()
         live = [t for t in limiter.accepted if t > now - self.window]  # a later request cannot be earlier than now
         self.accepted.update((live,)) if live else self.accepted.clear()
         if rest:
